@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from keelson.session import ship
 
 WIDTH = 2048
-SENTENCE_CUT = 6
-INNER_CUT = 24
-SHORT_WINDOW = 40
+SENTENCE_CUT = 4
+INNER_CUT = 16
+SHORT_WINDOW = 200
 LONGEST_UNCUT = 256
 BLOCK_TOKENS = 1 << 21
 AGAIN_WINDOWS = 2
