@@ -32,7 +32,7 @@ WIDTH = 2048
 SENTENCE_CUT = 4
 INNER_CUT = 16
 SHORT_WINDOW = 200
-LONGEST_UNCUT = 256
+LONGEST_UNCUT = 64
 BLOCK_TOKENS = 1 << 21
 AGAIN_WINDOWS = 2
 
