@@ -1,25 +1,21 @@
 """Exact whole-text BPE ids through the tokenizers library, with encoded chunks remembered.
 
 A byte-level BPE never merges across pre-tokens, and its pre-tokenizer always starts a new
-pre-token at a space that is followed by a non-space. So a text without two white-space
-characters in a row after a space may be cut at its spaces and each chunk encoded alone.
-Texts for which that does not hold, or which contain an added token, are encoded whole.
+pre-token at a space that is followed by a non-space. So a text without white space after a
+space may be cut at its spaces and each chunk encoded alone, once. Texts for which that does
+not hold, or which contain an added token, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 import numpy as np
-import regex
 
-_UNSAFE = re.compile(r" (?=\s|\Z)")
-# Fixed value: the split pattern of byte-level BPE vocabularies of this family.
-PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-_LONGEST_KEPT = 48
-_MOST_KEPT = 600_000
+_TOGETHER = 2_000
+_LONGEST_KEPT = 32
+_MOST_KEPT = 60_000
 _CODERS: dict[str, "Coder"] = {}
 
 
@@ -34,52 +30,73 @@ class Coder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids are held in 16 bits; this vocabulary needs more")
-        self.kept: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        # One letter of the byte alphabet stands for one byte.
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
+        self.kept: dict[str, bytes] = {}  # what follows a space, without it -> ids with the space
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of each chunk with a space before it; chunks that cannot stand alone are left out.
+
+        Chunks are strung together and encoded in one go; as ids stand for whole bytes and no id reaches
+        over a chunk's first space, counting bytes tells which ids are whose.
+        """
+        safe, found = [w for w in missing if w and not w[0].isspace()], {}
+        groups = [safe[at : at + _TOGETHER] for at in range(0, len(safe), _TOGETHER)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u2")
+            ends = np.cumsum(self.bytes_of[ids])
+            sizes = np.cumsum(np.fromiter(map(len, map(str.encode, some)), dtype=np.int64, count=len(some)) + 1)
+            cut = np.searchsorted(ends, sizes)
+            if len(ids) and (cut < len(ids)).all() and (ends[cut] == sizes).all():
+                raw, at = ids.tobytes(), 0
+                for w, c in zip(some, ((cut + 1) * 2).tolist()):
+                    found[w] = raw[at:c]
+                    at = c
+            else:
+                found.update(zip(some, self._encoded([" " + w for w in some])))
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """16-bit ids of every whole text; null is the empty text."""
-        kept, parts, missing = self.kept, [], set()
+        get, rows, missing = self.kept.get, [], set()
         for text in texts:
-            if not text:
-                parts.append(b"")
+            if not text or any(a in text for a in self.added):
+                rows.append(None)
                 continue
-            if _UNSAFE.search(text) or any(a in text for a in self.added):
-                parts.append(self._whole(text))
-                continue
-            words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-            if words is None:
-                parts.append(self._whole(text))
-                continue
-            parts.append(words)
-            missing.update(set(words).difference(kept))
-        found: dict[str, bytes] = {}
-        if missing:
-            cut = {w: PRE_TOKEN.findall(w) for w in missing}
-            fresh = list({t for ts in cut.values() for t in ts}.difference(kept))
-            for at in range(0, len(fresh), 20_000):
-                some = fresh[at : at + 20_000]
-                for t, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    found[t] = array("H", e.ids).tobytes()
-            for w, ts in cut.items():
-                if w not in found:
-                    found[w] = b"".join([found[t] if t in found else kept[t] for t in ts])
-            if len(kept) + len(found) > _MOST_KEPT:
-                used = {w for p in parts if isinstance(p, list) for w in p}
-                kept = self.kept = {w: kept[w] for w in used if w in kept}
-            kept.update((w, b) for w, b in found.items() if len(w) <= _LONGEST_KEPT)
-        long_ones = any(len(w) > _LONGEST_KEPT for w in missing)
+            words = text.split(" ")
+            ids = list(map(get, words))
+            ids[0] = b""  # encoded below: no space stands before it
+            gaps = [(i, words[i]) for i, x in enumerate(ids) if x is None] if None in ids else ()
+            missing.update([w for _, w in gaps])
+            rows.append((words[0], ids, gaps))
+        found = self._learn(missing) if missing else {}
+        if len(self.kept) + len(found) > _MOST_KEPT:
+            self.kept = {}
+        self.kept.update((w, b) for w, b in found.items() if len(w) <= _LONGEST_KEPT)
+        firsts = [r[0] for r in rows if r and r[0]]
+        heads = iter(self._encoded(firsts) if firsts else ())
         out = []
-        for p in parts:
-            if isinstance(p, list):
-                if long_ones:
-                    p = b"".join([kept[w] if w in kept else found[w] for w in p])
-                else:
-                    p = b"".join(map(kept.__getitem__, p))
-            out.append(np.frombuffer(p, dtype="<u2"))
-        return out
+        for text, r in zip(texts, rows):
+            if r is None:
+                out.append(self._whole(text) if text else b"")
+                continue
+            first, ids, gaps = r
+            if first:
+                ids[0] = next(heads)
+            try:
+                for i, w in gaps:
+                    ids[i] = found[w]
+                out.append(b"".join(ids))
+            except KeyError:
+                out.append(self._whole(text))
+        return [np.frombuffer(x, dtype="<u2") for x in out]
 
 
 def coder(path: str) -> Coder:

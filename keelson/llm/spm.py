@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 from keelson.session import ship
 
 SPACE = "▁"
-BEST = 4
+BEST = 3
 UNKNOWN_PENALTY = 10.0
 NEVER = -1e8  # models give such scores to pieces that no merge makes; they are no measure of the rest
 _MOST_KEPT = 250_000
 _LONGEST_KEPT = 48
+_LEAST, _NONE = float("-inf"), float("inf")
 _MODELS: dict[tuple[str, int], "Pieces"] = {}
 
 
@@ -44,7 +45,8 @@ class Pieces:
     def __init__(self, vocabulary: dict[str, tuple[int, float]], byte_ids: list[int], best: int = BEST, prefix: bool = True):
         self.vocabulary, self.byte_ids, self.best, self.prefix = vocabulary, byte_ids, best, prefix
         self.unknown = min((s for _, s in vocabulary.values() if s > NEVER), default=0.0) - UNKNOWN_PENALTY
-        self.longest = max(map(len, vocabulary), default=1)
+        self.edges = {p: (s, i.to_bytes(4, "little")) for p, (i, s) in vocabulary.items()}
+        self.starts = {p[:k] for p in vocabulary for k in range(1, len(p))}  # proper beginnings of pieces
         self.pairs = {p[i : i + 2] for p in vocabulary for i in range(len(p) - 1)}
         # Before a space mark after another character a lattice falls apart, unless some piece spans it.
         self.by_words = not any(p[1] == SPACE and p[0] != SPACE for p in self.pairs)
@@ -67,26 +69,36 @@ class Pieces:
 
     def search(self, s: str) -> list[tuple[float, bytes]]:
         """The ``best`` segmentations of one lattice: (score, ids as 32-bit bytes), best first."""
-        n, get, longest = len(s), self.vocabulary.get, self.longest
+        n, get, starts = len(s), self.edges.get, self.starts
         into: list[list] = [[] for _ in range(n + 1)]
+        score = [0.0] + [_LEAST] * n
         for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = get(s[i:j])
+            here = score[i]
+            for j in range(i + 1, n + 1):
+                sub = s[i:j]
+                p = get(sub)
                 if p is not None:
-                    into[j].append((i, p[1], (p[0],)))
-        score = [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            edges = into[j]
-            if not any(e[0] == j - 1 for e in edges):
-                edges.append((j - 1, self.unknown, tuple(self.byte_ids[b] for b in s[j - 1].encode("utf-8", "surrogatepass"))))
-            score[j] = max([score[i] + w for i, w, _ in edges])
-        queue = [(-score[n], (), n, 0.0)]
+                    w = p[0]
+                elif j == i + 1:
+                    w, p = self.unknown, (0.0, b"".join([self.byte_ids[b].to_bytes(4, "little") for b in sub.replace(SPACE, " ").encode("utf-8", "surrogatepass")]))
+                else:
+                    if sub not in starts:
+                        break
+                    continue
+                into[j].append((i, w, p[1]))
+                if here + w > score[j]:
+                    score[j] = here + w
+                if sub not in starts:
+                    break
+        queue = [(-score[n], b"", n, 0.0)]
         out: list[tuple[float, bytes]] = []
         pop, push, best = heapq.heappop, heapq.heappush, self.best
-        while queue and len(out) < best:
+        while queue:
             _, ids, j, done = pop(queue)
-            if j == 0:
-                out.append((done, array("I", ids).tobytes()))
+            if not j:
+                out.append((done, ids))
+                if len(out) == best:
+                    break
                 continue
             for i, w, p in into[j]:
                 so_far = done + w
@@ -97,32 +109,35 @@ class Pieces:
         """The best sums over a few parts in order."""
         now = choices[0]
         for more in choices[1:]:
-            if len(now) == 1 and len(more) == 1:
-                now = [(now[0][0] + more[0][0], now[0][1] + more[0][1])]
+            if len(more) == 1:
+                b, y = more[0]
+                now = [(a + b, x + y) for a, x in now]
+            elif len(now) == 1:
+                a, x = now[0]
+                now = [(a + b, x + y) for b, y in more]
             else:
-                now = sorted(((a + b, x + y) for a, x in now for b, y in more), key=lambda c: (-c[0], c[1]))[: self.best]
+                now = sorted([(-a - b, x + y) for a, x in now for b, y in more])[: self.best]
+                now = [(-c, z) for c, z in now]
         return now
 
     def word(self, w: str) -> tuple:
         """(best ids, best score, loss of the second choice, choices) of a string, part by part."""
-        pairs, at, parts = self.pairs, 0, []
-        for i in range(1, len(w)):
-            if w[i - 1 : i + 1] not in pairs:
-                parts.append(w[at:i])
-                at = i
-        parts.append(w[at:])
-        found = []
-        for p in parts:
-            got = self.parts.get(p)
+        pairs, at, found, known = self.pairs, 0, [], self.parts
+        ends = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in pairs]
+        ends.append(len(w))
+        for i in ends:
+            p = w[at:i]
+            at = i
+            got = known.get(p)
             if got is None:
                 got = self.search(p)
                 if len(p) <= _LONGEST_KEPT:
-                    if len(self.parts) >= _MOST_KEPT:
-                        self.parts.clear()
-                    self.parts[p] = got
+                    if len(known) >= _MOST_KEPT:
+                        known.clear()
+                    known[p] = got
             found.append(got)
-        best = self._merge(found)
-        return best[0][1], best[0][0], best[0][0] - best[1][0] if len(best) > 1 else float("inf"), best
+        best = self._merge(found) if len(found) > 1 else found[0]
+        return best[0][1], best[0][0], best[0][0] - best[1][0] if len(best) > 1 else _NONE, best
 
     def split(self, text: str) -> list[str]:
         if not text:
@@ -134,21 +149,24 @@ class Pieces:
 
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """The n best segmentations of the whole text: (score, ids as 32-bit bytes)."""
-        words, known, entries = self.split(text or ""), self.words, []
-        for w in words:
-            e = known.get(w)
-            if e is None:
-                e = self.word(w)
-                if len(w) <= _LONGEST_KEPT:
-                    if len(known) >= _MOST_KEPT:
-                        known.clear()
-                    known[w] = e
-            entries.append(e)
-        if not entries:
+        words, known = self.split(text or ""), self.words
+        if not words:
             return [(0.0, b"")]
-        ids = [e[0] for e in entries]
-        total = sum([e[1] for e in entries])
-        losses = [e[2] for e in entries]
+        entries = list(map(known.get, words))
+        if None in entries:
+            if len(known) >= _MOST_KEPT:
+                known.clear()
+            for i, e in enumerate(entries):
+                if e is None:
+                    w = words[i]
+                    e = known.get(w)
+                    if e is None:
+                        e = self.word(w)
+                        if len(w) <= _LONGEST_KEPT:
+                            known[w] = e
+                    entries[i] = e
+        ids, scores, losses, _ = zip(*entries)
+        total = sum(scores)
         # Of equal losses the leftmost count first.
         weakest = sorted(heapq.nsmallest(self.best - 1, range(len(losses)), key=losses.__getitem__)) if self.best > 1 else []
         combos: list[tuple[float, tuple]] = [(0.0, ())]
@@ -161,7 +179,7 @@ class Pieces:
             if not changed:
                 out.append((total - loss, b"".join(ids)))
                 continue
-            other = ids.copy()
+            other = list(ids)
             for i, k in changed:
                 other[i] = entries[i][3][k][1]
             out.append((total - loss, b"".join(other)))

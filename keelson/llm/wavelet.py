@@ -59,16 +59,15 @@ def build(doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray, levels
     meta["starts"] = put(_packed(np.diff(starts.astype("<i8"), prepend=0)))
     now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     for level in range(levels - 1, -1, -1):
-        ones = (now >> level & 1).astype(bool)
+        ones = (now & now.dtype.type(1 << level)) != 0
         bits = np.packbits(ones)
-        per = BLOCK * 8
-        edges = np.arange(0, max(len(ones), 1), per)
-        before = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, edges, dtype=np.int64))]) if len(ones) else np.zeros(1, np.int64)
+        counts = np.bitwise_count(np.pad(bits, (0, -len(bits) % BLOCK))).reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
+        before = np.concatenate([[0], np.cumsum(counts)])
         blocks = [put(squeeze.compress(bits[i : i + BLOCK].tobytes())) for i in range(0, len(bits), BLOCK)]
         meta["planes"].append({"before": put(_packed(before.astype("<i8"))), "blocks": put(_packed(np.array(blocks, dtype="<i8").reshape(-1, 2)))})
-        zeros = now[~ones]
+        zeros = np.compress(~ones, now)
         meta["zeros"].append(len(zeros))
-        now = np.concatenate([zeros, now[ones]])
+        now = np.concatenate([zeros, np.compress(ones, now)])
     head = zstandard.ZstdCompressor(level=3).compress(json.dumps(meta).encode())
     return MAGIC + struct.pack("<Q", len(head)) + head + b"".join(body)
 
@@ -172,8 +171,8 @@ class Shard:
             raw = b"".join(self._loose.decompress(self._read(self._base + int(a), int(n))) for a, n in self._table(k)[1])
             ones = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=self.n).astype(bool) if self.n else np.zeros(0, bool)
             z, back = self.meta["zeros"][k], np.empty(self.n, dtype=kind)
-            back[~ones] = value[:z]
-            back[ones] = value[z:] | kind(1 << (self.levels - 1 - k))
+            back[np.flatnonzero(~ones)] = value[:z]
+            back[np.flatnonzero(ones)] = value[z:] | kind(1 << (self.levels - 1 - k))
             value = back
         return value
 
