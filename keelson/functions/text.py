@@ -26,7 +26,7 @@ def _humps(text: Column) -> Column:
 
 def name_tokens(path: Column) -> Column:
     """Sorted set of lower-case word parts of a file's base name without its last extension."""
-    stem = F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+    stem = F.regexp_replace(basename(path), r"\.[^.]*$", "")
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(_humps(stem)), r"[^\p{L}\p{N}]+"), lambda t: t != "")))
 
 

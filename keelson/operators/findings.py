@@ -118,7 +118,8 @@ def child_capacity(tree: DataFrame, parent: str, child: str, level: str, cap: in
 def derived_scopes(nodes: DataFrame, edges: DataFrame, tree: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(id, level, container): the least scope that covers a node's own file and all its users.
 
-    Types exposed by something wider than a file take the wider scope, to a fixpoint.
+    Types exposed by something wider than a file take the wider scope, to a fixpoint. ``tree`` has the
+    ancestors of every container.
     """
     at = nodes.select("id", "kind", "container")
     own = at.join(tree.withColumnRenamed("id", "container"), "container").select("id", *[x.lower() for x in schema.LEVELS])

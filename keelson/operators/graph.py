@@ -250,10 +250,10 @@ def shatter(edges: DataFrame, membership: DataFrame, exact_vertices: int = schem
 
 
 def pull_targets(edges: DataFrame, home: DataFrame, top: int = 4) -> DataFrame:
-    """(vertex, cluster, pull, rank): the clusters that pull a vertex most, other than its own; ties to the lower id."""
+    """(vertex, cluster, pull, rank): the clusters that pull a vertex most, other than its own; ties, to six decimals, go to the lower id."""
     here = home.select(F.col("vertex"), F.col("cluster").alias("own"))
     there = home.select(F.col("vertex").alias("other"), "cluster")
     both = edges.select(F.col("src").alias("vertex"), F.col("dst").alias("other"), "weight").unionByName(edges.select(F.col("dst").alias("vertex"), F.col("src").alias("other"), "weight"))
     pulls = both.join(here, "vertex").join(there, "other").filter("cluster <> own").groupBy("vertex", "cluster").agg(F.sum("weight").alias("pull")).filter("pull > 0")
-    rank = F.row_number().over(Window.partitionBy("vertex").orderBy(F.desc("pull"), "cluster"))
+    rank = F.row_number().over(Window.partitionBy("vertex").orderBy(F.desc(F.round("pull", 6)), "cluster"))
     return pulls.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)

@@ -116,9 +116,9 @@ def price_edges(t: Tables) -> DataFrame:
     return graph.price_edges(t.org_edges).select("source", "target", "kind", "hardness", _r("confidence").alias("confidence"), _r("weight").alias("weight"))
 
 
-@query(_sql("select kind, count(*) edges, round(sum(weight), 2) weight from opriced group by 1", "opriced"))
+@query(_sql("select kind, count(*) edges, round(sum(weight), 4) weight from opriced group by 1", "opriced"))
 def kind_weight_sum(t: Tables) -> DataFrame:
-    return graph.price_edges(t.org_edges).groupBy("kind").agg(F.count("*").alias("edges"), _r(F.sum("weight"), 2).alias("weight"))
+    return graph.price_edges(t.org_edges).groupBy("kind").agg(F.count("*").alias("edges"), _r(F.sum("weight")).alias("weight"))
 
 
 @query(_sql("select source src, target dst, round(sum(weight), 4) weight from opriced group by 1, 2", "opriced"))
@@ -255,7 +255,7 @@ def mfas_heuristic_valid(t: Tables) -> DataFrame:
     return breaks
 
 
-@query(_sql("select vertex, cluster, round(pull, 4) pull, rank from (select *, row_number() over (partition by vertex order by pull desc, cluster) as rank from (select v.x vertex, b.folder cluster, sum(weight) pull from v join cust a on v.x = a.file join cust b on v.y = b.file where a.folder <> b.folder group by 1, 2 having sum(weight) > 0)) where rank <= 4", "cedge", "cust",
+@query(_sql("select vertex, cluster, round(pull, 4) pull, rank from (select *, row_number() over (partition by vertex order by round(pull, 6) desc, cluster) as rank from (select v.x vertex, b.folder cluster, sum(weight) pull from v join cust a on v.x = a.file join cust b on v.y = b.file where a.folder <> b.folder group by 1, 2 having sum(weight) > 0)) where rank <= 4", "cedge", "cust",
             v="select src x, dst y, weight from cedge union all select dst, src, weight from cedge"))
 def pull_targets_top4(t: Tables) -> DataFrame:
     home = t.customers.select(F.col("file").alias("vertex"), F.col("folder").alias("cluster"))
@@ -367,7 +367,7 @@ def imbalance_term(t: Tables) -> DataFrame:
     return score.imbalance_term(_sizes(t), t.org_containers).select(_r("imbalance").alias("imbalance"))
 
 
-@query(_sql("select path, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', ''), '([\\p{Ll}\\p{N}])(\\p{Lu})', '\\1 \\2', 'g')), '[^\\p{L}\\p{N}]+'), x -> x <> ''))) tokens from (select distinct path from pf)", "pf"))
+@query(_sql("select path, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', ''), '([\\p{Ll}\\p{N}])(\\p{Lu})', '\\1 \\2', 'g')), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) tokens from (select distinct path from pf)", "pf"))
 def name_tokens(t: Tables) -> DataFrame:
     return t.page_files.select("path").distinct().select("path", K.name_tokens(F.col("path")).alias("tokens"))
 
@@ -549,12 +549,11 @@ from (select n.id, c.* from onode n join cust c on n.container = c.file union al
 
 
 def _scopes(t: Tables) -> DataFrame:
-    return findings.derived_scopes(t.org_nodes, t.org_edges, t.org_tree)
+    return findings.derived_scopes(t.org_nodes, t.org_edges, hierarchy.ancestors(t.org_containers))
 
 
-@query(_sql("""select id, ['File', 'Folder', 'Domain', 'Package', 'PackageGroup'][1 + rank] as level from (
-  select s.id, case when count(*) filter (where e.k is not null) = 0 then any_value(s.rank) else case when min(u.file) = max(u.file) then 0 when min(u.folder) = max(u.folder) then 1 when min(u.domain) = max(u.domain) then 2 when min(u.package) = max(u.package) then 3 else 4 end end rank
-  from sc0 s left join reach e on s.id = e.id join (select id, c.* from leafs join cust c on leafs.file = c.file) u on u.id = coalesce(e.k, s.id) or u.id = s.id group by 1)""", "oedge", "onode", "cust", sc0=_SC0,
+@query(_sql("""select id, case when min(c.file) = max(c.file) then 'File' when min(c.folder) = max(c.folder) then 'Folder' when min(c.domain) = max(c.domain) then 'Domain' when min(c.package) = max(c.package) then 'Package' else 'PackageGroup' end as level
+from (select id, file from leafs union select r.id, l.file from reach r join leafs l on l.id = r.k) m join cust c on m.file = c.file group by 1""", "oedge", "onode", "cust", sc0=_SC0,
             leafs="select id, container as \"file\" from onode union select e.target, n.container from oedge e join onode n on e.source = n.id",
             ty="select distinct source, target from oedge join onode n on target = n.id where oedge.kind in ('TypeReference', 'Inheritance') and n.kind = 'Type'",
             reach="select target id, source k from ty join sc0 on source = sc0.id where sc0.rank > 0 union select ty.target, reach.k from reach join ty on reach.id = ty.source"))
@@ -645,10 +644,10 @@ def pair_f1(t: Tables) -> DataFrame:
     return partition.pair_f1(*_partitions(t)).select(_r("precision").alias("precision"), _r("recall").alias("recall"), _r("f1").alias("f1"))
 
 
-@query(_sql("select a.folder src, b.folder dst, round(sum(weight), 2) weight from cedge join cust a on src = a.file join cust b on dst = b.file where a.folder <> b.folder group by 1, 2", "cedge", "cust"))
+@query(_sql("select a.folder src, b.folder dst, round(sum(weight), 4) weight from cedge join cust a on src = a.file join cust b on dst = b.file where a.folder <> b.folder group by 1, 2", "cedge", "cust"))
 def partition_quotient(t: Tables) -> DataFrame:
     m = t.customers.select(F.col("file").alias("node"), F.col("folder").alias("scc"))
-    return graph.quotient(_customer_edges(t), m).select("src", "dst", _r("weight", 2).alias("weight"))
+    return graph.quotient(_customer_edges(t), m).select("src", "dst", _r("weight").alias("weight"))
 
 
 @query(_sql("select cust as vertex, folder before, new_folder after from cust where folder in (select folder from (select folder, list_sort(list(cust)) l from cust group by 1) where true) and (select list_sort(list(cust)) from cust c where c.folder = cust.folder) <> (select list_sort(list(cust)) from cust c where c.new_folder = cust.new_folder)", "cust"))
@@ -668,7 +667,7 @@ def plurality_vote(t: Tables) -> DataFrame:
     return partition.plurality(j.select(F.col("s_nationkey").alias("grp"), F.col("p_brand").alias("key")))
 
 
-@query(_sql("select cluster, round(avg(hit), 4) alignment from (select regexp_replace(path, '/[^/]*$', '') cluster, case when len(list_intersect(tok(path), tok(regexp_extract(regexp_replace(path, '/[^/]*$', ''), '[^/]*$')))) > 0 then 1.0 else 0.0 end hit from pf) group by 1".replace("tok(path)", "list_filter(string_split_regex(lower(path), '[/_\\-. ]+'), x -> x <> '' and not regexp_full_match(x, '[0-9]+'))").replace("tok(regexp_extract(regexp_replace(path, '/[^/]*$', ''), '[^/]*$'))", "list_filter(string_split_regex(lower(regexp_extract(regexp_replace(path, '/[^/]*$', ''), '[^/]*$')), '[/_\\-. ]+'), x -> x <> '' and not regexp_full_match(x, '[0-9]+'))"), "pf"))
+@query(_sql("select cluster, round(avg(hit), 4) alignment from (select regexp_replace(path, '/[^/]*$', '') cluster, case when len(list_intersect(tok(path), tok(regexp_extract(regexp_replace(path, '/[^/]*$', ''), '[^/]*$')))) > 0 then 1.0 else 0.0 end hit from pf) group by 1".replace("tok(path)", "list_filter(string_split_regex(lower(path), '[/_\\-. ]+'), lambda x: x <> '' and not regexp_full_match(x, '[0-9]+'))").replace("tok(regexp_extract(regexp_replace(path, '/[^/]*$', ''), '[^/]*$'))", "list_filter(string_split_regex(lower(regexp_extract(regexp_replace(path, '/[^/]*$', ''), '[^/]*$')), '[/_\\-. ]+'), lambda x: x <> '' and not regexp_full_match(x, '[0-9]+'))"), "pf"))
 def name_alignment(t: Tables) -> DataFrame:
     m = t.page_files.select(F.regexp_replace("path", "/[^/]*$", "").alias("cluster"), F.col("path").alias("name"))
     return partition.name_alignment(m).select("cluster", _r("alignment").alias("alignment"))
@@ -761,7 +760,7 @@ def folder_labels(t: Tables) -> DataFrame:
     return moves.folder_labels(t["part"].select(F.col("p_type").alias("key"), F.col("p_brand").alias("package"), F.col("p_name").alias("domain")))
 
 
-_SIG = """select p.subject, p.source, p.destination, case when greatest(wd, ws) <= 0 then 0 else greatest(0.0, least(1.0, (wd - ws) / greatest(wd, ws))) end sc, case when wall > 0 then wd / wall * case nd when 0 then 0.0 when 1 then 0.5 else 1.0 end else 0.0 end dc, coalesce(o.n, 0) n_own, coalesce(o.nd, 0) nd_own, coalesce(r.reach, 0.0) reach, coalesce(ra.role, 0.0) role
+_SIG = """select p.subject, p.source, p.destination, case when greatest(wd, ws) <= 0 then 0 else greatest(0.0, least(1.0, (wd - ws) / greatest(wd, ws))) end sc, case when wall > 0 then wd / wall * case c.nd when 0 then 0.0 when 1 then 0.5 else 1.0 end else 0.0 end dc, coalesce(o.n, 0) n_own, coalesce(o.nd, 0) nd_own, coalesce(r.reach, 0.0) reach, coalesce(ra.role, 0.0) role
 from prop p left join (select p.subject, coalesce(sum(case when place = p.destination then weight end), 0) wd, coalesce(sum(case when place = p.source then weight end), 0) ws, coalesce(sum(weight), 0) wall, count(distinct case when place = p.destination then other end) nd from prop p left join near n on p.subject = n.subject group by 1) c on p.subject = c.subject
 left join own o on p.subject = o.subject left join reach r on p.subject = r.subject left join ra on p.subject = ra.subject"""
 _SIGC = dict(
@@ -801,7 +800,7 @@ _W = "(0.1 * case when n_own = 1 and nd_own = 1 then 1.0 else 0.0 end + 0.1 * ro
 _S = "((0.1 * case when n_own = 1 and nd_own = 1 then 1.0 else 0.0 end + 0.25 * sc + 0.25 * dc + 0.1 * case when n_own > 0 then nd_own / n_own else 0 end + 0.2 * reach) / 0.9)"
 
 
-@query(_sql(f"select subject, destination, case when q then 1 else 0 end::bigint votes, q recommended, case when q then [] else list_filter([case when w < 0.6 then 'WeakEvidence' end, case when s < 0.5 then 'WeakStructuralEvidence' end, case when w < 0.15 then 'WeakAmbiguityMargin' end, 'NoMajoritySupport'], x -> x is not null) end reasons from (select *, w >= 0.6 and s >= 0.5 q from (select subject, destination, {_W} w, {_S} s from ({_SIG})))", "cedge", "cust", "he", **_SIGC))
+@query(_sql(f"select subject, destination, case when q then 1 else 0 end::bigint votes, q recommended, case when q then [] else list_filter([case when w < 0.6 then 'WeakEvidence' end, case when s < 0.5 then 'WeakStructuralEvidence' end, case when w < 0.15 then 'WeakAmbiguityMargin' end, 'NoMajoritySupport'], lambda x: x is not null) end reasons from (select *, w >= 0.6 and s >= 0.5 q from (select subject, destination, {_W} w, {_S} s from ({_SIG})))", "cedge", "cust", "he", **_SIGC))
 def advice_consensus(t: Tables) -> DataFrame:
     """One profile, with no alternative place."""
     none = t.spark.createDataFrame([], "subject long, place long, score double")
