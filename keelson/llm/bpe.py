@@ -1,9 +1,14 @@
-"""Exact whole-text BPE ids through the tokenizers library, with encoded chunks remembered.
+"""Exact whole-text BPE ids through the tokenizers library, with the ids of short chunks remembered.
 
-A byte-level BPE never merges across pre-tokens, and its pre-tokenizer always starts a new
-pre-token at a space that is followed by a non-space. So a text without white space after a
-space may be cut at its spaces and each chunk encoded alone, once. Texts for which that does
-not hold, or which contain an added token, are encoded whole.
+A byte-level BPE never merges across pre-tokens, and its pre-tokenizer always starts a new pre-token
+at a space that is followed by a non-space. So a text without white space after a space may be cut at
+its spaces and each chunk encoded alone. Texts for which that does not hold, or which contain an added
+token, are encoded whole.
+
+Chunks of up to 23 bytes are looked up in a table that holds their very bytes and length as three
+integers, so a hit is exact. All chunks of a batch are looked up at once with NumPy; a new chunk takes the place of
+whatever was in its slot. Chunks that are not found are strung together and encoded in one go: as ids stand
+for whole bytes and no id reaches over a chunk's first space, counting bytes tells which ids are whose.
 """
 
 from __future__ import annotations
@@ -13,10 +18,20 @@ from array import array
 
 import numpy as np
 
-_TOGETHER = 2_000
-_LONGEST_KEPT = 32
-_MOST_KEPT = 60_000
+_SLOTS = 1 << 21
+_POOL = 9_000_000
+_WORDS = 3
+_LONGEST = 8 * _WORDS - 1  # the last byte of a key holds the length
+_TOGETHER = 4_000
 _CODERS: dict[str, "Coder"] = {}
+# White space in UTF-8, by the first byte, and by all bytes as a little-endian integer.
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_WIDE = np.zeros(256, dtype=bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_WIDE_2 = np.array([0x85C2, 0xA0C2], dtype=np.uint64)
+_WIDE_3 = np.array([int.from_bytes(chr(c).encode(), "little") for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)], dtype=np.uint64)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 class Coder:
@@ -27,76 +42,124 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if self.tokenizer.get_vocab_size() > 65_536:
-            raise ValueError("ids are held in 16 bits; this vocabulary needs more")
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
+        if size > 65_536:
+            raise ValueError("ids are held in 16 bits; this vocabulary needs more")
         # One letter of the byte alphabet stands for one byte.
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
-        self.kept: dict[str, bytes] = {}  # what follows a space, without it -> ids with the space
-
-    def _whole(self, text: str) -> bytes:
-        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of each chunk with a space before it; chunks that cannot stand alone are left out.
-
-        Chunks are strung together and encoded in one go; as ids stand for whole bytes and no id reaches
-        over a chunk's first space, counting bytes tells which ids are whose.
-        """
-        safe, found = [w for w in missing if w and not w[0].isspace()], {}
-        groups = [safe[at : at + _TOGETHER] for at in range(0, len(safe), _TOGETHER)]
-        for some, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u2")
+        self.keys = np.zeros((_SLOTS, _WORDS), dtype=np.uint64)
+        self.places = np.zeros(_SLOTS, dtype=np.int32)
+        self.counts = np.zeros(_SLOTS, dtype=np.uint16)
+        self.pool = np.zeros(_POOL, dtype=np.uint16)
+        self.used = 0
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(array("H", e.ids), dtype=np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, each with a space before it, and the number of ids of each."""
+        groups = [chunks[at : at + _TOGETHER] for at in range(0, len(chunks), _TOGETHER)]
+        flat, counts = [], []
+        for some, ids in zip(groups, self._ids([(b" " + b" ".join(g)).decode() for g in groups])):
             ends = np.cumsum(self.bytes_of[ids])
-            sizes = np.cumsum(np.fromiter(map(len, map(str.encode, some)), dtype=np.int64, count=len(some)) + 1)
+            sizes = np.cumsum(np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + 1)
             cut = np.searchsorted(ends, sizes)
-            if len(ids) and (cut < len(ids)).all() and (ends[cut] == sizes).all():
-                raw, at = ids.tobytes(), 0
-                for w, c in zip(some, ((cut + 1) * 2).tolist()):
-                    found[w] = raw[at:c]
-                    at = c
+            if (cut < len(ids)).all() and (ends[cut] == sizes).all():
+                flat.append(ids)
+                counts.append(np.diff(cut, prepend=-1))
             else:
-                found.update(zip(some, self._encoded([" " + w for w in some])))
-        return found
+                alone = self._ids([" " + c.decode() for c in some])
+                flat += alone
+                counts.append(np.array([len(x) for x in alone]))
+        return np.concatenate(flat), np.concatenate(counts)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
         """16-bit ids of every whole text; null is the empty text."""
-        get, rows, missing = self.kept.get, [], set()
-        for text in texts:
-            if not text or any(a in text for a in self.added):
-                rows.append(None)
-                continue
-            words = text.split(" ")
-            ids = list(map(get, words))
-            ids[0] = b""  # encoded below: no space stands before it
-            gaps = [(i, words[i]) for i, x in enumerate(ids) if x is None] if None in ids else ()
-            missing.update([w for _, w in gaps])
-            rows.append((words[0], ids, gaps))
-        found = self._learn(missing) if missing else {}
-        if len(self.kept) + len(found) > _MOST_KEPT:
-            self.kept = {}
-        self.kept.update((w, b) for w, b in found.items() if len(w) <= _LONGEST_KEPT)
-        firsts = [r[0] for r in rows if r and r[0]]
-        heads = iter(self._encoded(firsts) if firsts else ())
-        out = []
-        for text, r in zip(texts, rows):
-            if r is None:
-                out.append(self._whole(text) if text else b"")
-                continue
-            first, ids, gaps = r
-            if first:
-                ids[0] = next(heads)
-            try:
-                for i, w in gaps:
-                    ids[i] = found[w]
-                out.append(b"".join(ids))
-            except KeyError:
-                out.append(self._whole(text))
-        return [np.frombuffer(x, dtype="<u2") for x in out]
+        if not texts:
+            return []
+        raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
+        data = b" " + b" ".join(raw) + bytes(_LONGEST + 9)
+        buf = np.frombuffer(data, dtype=np.uint8)
+        total = len(data) - _LONGEST - 9
+        starts = np.flatnonzero(buf[:total] == 32) + 1
+        sizes = np.append(starts[1:] - 1, total) - starts
+        begin = np.concatenate([[1], np.cumsum([len(r) + 1 for r in raw]) + 1])
+        first = np.searchsorted(starts, begin[:-1])
+        edge = np.append(first, len(starts))
+        leads = np.zeros(len(starts), dtype=bool)
+        leads[first] = True
+        view = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        w = [view[starts + 8 * k] & _MASKS[np.clip(sizes - 8 * k, 0, 8)] for k in range(_WORDS)]
+        w[-1] |= np.minimum(sizes, 255).astype(np.uint64) << np.uint64(56)
+        # Chunks that cannot stand alone make their text be encoded whole.
+        lead_byte = buf[starts]
+        odd = (sizes == 0) | _BLANK[lead_byte]
+        wide = np.flatnonzero(_WIDE[lead_byte])
+        if len(wide):
+            odd[wide] |= np.isin(w[0][wide] & _MASKS[2], _WIDE_2) | np.isin(w[0][wide] & _MASKS[3], _WIDE_3)
+        odd &= ~leads
+        whole = np.logical_or.reduceat(odd, first)
+        for k, r in enumerate(raw):
+            if any(a in r for a in self.added):
+                whole[k] = True
+        usable = ~leads & ~np.repeat(whole, np.diff(edge))
+        h = w[0] * np.uint64(0x9E3779B97F4A7C15)
+        for x in w[1:]:
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + x * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
+        hit = usable & (sizes <= _LONGEST)
+        for k in range(_WORDS):
+            hit &= self.keys[slot, k] == w[k]
+        place, count = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        place[hit], count[hit] = self.places[slot[hit]], self.counts[slot[hit]]
+        extra: list[np.ndarray] = []
+        at = self.used
+        miss = np.flatnonzero(usable & ~hit)
+        if len(miss):
+            known: dict[bytes, int] = {}
+            which = [known.setdefault(data[s : s + n], len(known)) for s, n in zip(starts[miss].tolist(), sizes[miss].tolist())]
+            chunks = list(known)
+            flat, n_ids = self._learn(chunks)
+            offsets = np.cumsum(n_ids) - n_ids
+            place[miss], count[miss] = at + offsets[which], n_ids[which]
+            extra.append(flat)
+        heads = [k for k in range(len(raw)) if not whole[k] and sizes[first[k]]]
+        if heads:
+            got = self._ids([data[starts[c] : starts[c] + sizes[c]].decode() for c in first[heads].tolist()])
+            n = np.array([len(x) for x in got])
+            place[first[heads]] = at + sum(map(len, extra)) + np.cumsum(n) - n
+            count[first[heads]] = n
+            extra += got
+        source = np.concatenate([self.pool[:at], *extra]) if extra else self.pool[:at]
+        ends = np.cumsum(count)
+        ids = source[np.repeat(place - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[edge].tolist()
+        if len(miss):
+            self._remember(miss, slot, w, sizes, flat, place - at, count)
+        out = [ids[a:z] for a, z in zip(cuts, cuts[1:])]
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self._ids([raw[k].decode()])[0]
+        return out
+
+    def _remember(self, miss, slot, w, sizes, flat, offset, count) -> None:
+        if self.used + len(flat) > _POOL:
+            self.keys[:] = 0
+            self.used = 0
+            if len(flat) > _POOL:
+                return
+        self.pool[self.used : self.used + len(flat)] = flat
+        keep = miss[(sizes[miss] <= _LONGEST) & (count[miss] < 65_536)]
+        # Of chunks with one slot the last stays, all its fields alike.
+        _, last = np.unique(slot[keep][::-1], return_index=True)
+        keep = keep[len(keep) - 1 - last]
+        s = slot[keep]
+        for k in range(_WORDS):
+            self.keys[s, k] = w[k][keep]
+        self.places[s] = self.used + offset[keep]
+        self.counts[s] = count[keep]
+        self.used += len(flat)
 
 
 def coder(path: str) -> Coder:

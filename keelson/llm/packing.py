@@ -185,7 +185,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end: int = 1, width: in
         n = 0
         for b in batches:
             packer = packer or Packer(sentence_ends(vocabulary), width)
-            for d, x in zip(b.column(0).to_pylist(), code.encode(b.column(1).to_pylist())):
+            for d, x in zip(b.column(0).to_pylist(), code.encode(b.column(1).cast(pa.binary()).to_pylist())):
                 keys[n] = d
                 if pieces := packer.add(n, np.concatenate([x, stop])):
                     yield rows(keys, pieces, part)

@@ -33,8 +33,9 @@ SPACE = "▁"
 BEST = 3
 UNKNOWN_PENALTY = 10.0
 NEVER = -1e8  # models give such scores to pieces that no merge makes; they are no measure of the rest
-_MOST_KEPT = 250_000
+_MOST_KEPT = 300_000
 _LONGEST_KEPT = 48
+_RAW = "\0"  # before strings that are taken as they are
 _LEAST, _NONE = float("-inf"), float("inf")
 _MODELS: dict[tuple[str, int], "Pieces"] = {}
 
@@ -45,8 +46,9 @@ class Pieces:
     def __init__(self, vocabulary: dict[str, tuple[int, float]], byte_ids: list[int], best: int = BEST, prefix: bool = True):
         self.vocabulary, self.byte_ids, self.best, self.prefix = vocabulary, byte_ids, best, prefix
         self.unknown = min((s for _, s in vocabulary.values() if s > NEVER), default=0.0) - UNKNOWN_PENALTY
-        self.edges = {p: (s, i.to_bytes(4, "little")) for p, (i, s) in vocabulary.items()}
-        self.starts = {p[:k] for p in vocabulary for k in range(1, len(p))}  # proper beginnings of pieces
+        # Per piece its score, its id in bytes and whether longer pieces begin with it; () for mere beginnings.
+        starts = {p[:k] for p in vocabulary for k in range(1, len(p))}
+        self.edges = dict.fromkeys(starts, ()) | {p: (s, i.to_bytes(4, "little"), p in starts) for p, (i, s) in vocabulary.items()}
         self.pairs = {p[i : i + 2] for p in vocabulary for i in range(len(p) - 1)}
         # Before a space mark after another character a lattice falls apart, unless some piece spans it.
         self.by_words = not any(p[1] == SPACE and p[0] != SPACE for p in self.pairs)
@@ -69,26 +71,29 @@ class Pieces:
 
     def search(self, s: str) -> list[tuple[float, bytes]]:
         """The ``best`` segmentations of one lattice: (score, ids as 32-bit bytes), best first."""
-        n, get, starts = len(s), self.edges.get, self.starts
+        n, get = len(s), self.edges.get
         into: list[list] = [[] for _ in range(n + 1)]
         score = [0.0] + [_LEAST] * n
         for i in range(n):
-            here = score[i]
-            for j in range(i + 1, n + 1):
-                sub = s[i:j]
-                p = get(sub)
-                if p is not None:
-                    w = p[0]
-                elif j == i + 1:
-                    w, p = self.unknown, (0.0, b"".join([self.byte_ids[b].to_bytes(4, "little") for b in sub.replace(SPACE, " ").encode("utf-8", "surrogatepass")]))
-                else:
-                    if sub not in starts:
+            here, sub = score[i], s[i]
+            p = get(sub)
+            if not p:
+                deeper = p is not None
+                p = (self.unknown, b"".join([self.byte_ids[b].to_bytes(4, "little") for b in sub.replace(SPACE, " ").encode("utf-8", "surrogatepass")]), deeper)
+            j = i + 1
+            while True:
+                if p:
+                    w, ids, deeper = p
+                    into[j].append((i, w, ids))
+                    if here + w > score[j]:
+                        score[j] = here + w
+                    if not deeper:
                         break
-                    continue
-                into[j].append((i, w, p[1]))
-                if here + w > score[j]:
-                    score[j] = here + w
-                if sub not in starts:
+                j += 1
+                if j > n:
+                    break
+                p = get(s[i:j])
+                if p is None:
                     break
         queue = [(-score[n], b"", n, 0.0)]
         out: list[tuple[float, bytes]] = []
@@ -140,12 +145,18 @@ class Pieces:
         return best[0][1], best[0][0], best[0][0] - best[1][0] if len(best) > 1 else _NONE, best
 
     def split(self, text: str) -> list[str]:
+        """Strings whose lattices are independent: words without their space mark, or _RAW and the whole string."""
         if not text:
             return []
+        if self.prefix and self.by_words and SPACE not in text and _RAW not in text:
+            words = text.split(" ")
+            if "" not in words:
+                return words
         marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         if not self.by_words:
-            return [marked]
-        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", marked)
+            return [_RAW + marked]
+        found = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", marked)
+        return [_RAW + w for w in found]
 
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """The n best segmentations of the whole text: (score, ids as 32-bit bytes)."""
@@ -156,19 +167,24 @@ class Pieces:
         if None in entries:
             if len(known) >= _MOST_KEPT:
                 known.clear()
-            for i, e in enumerate(entries):
+            for i in [i for i, e in enumerate(entries) if e is None]:
+                w = words[i]
+                e = known.get(w)
                 if e is None:
-                    w = words[i]
-                    e = known.get(w)
-                    if e is None:
-                        e = self.word(w)
-                        if len(w) <= _LONGEST_KEPT:
-                            known[w] = e
-                    entries[i] = e
+                    e = self.word(w[1:] if w[0] == _RAW else SPACE + w)
+                    if len(w) <= _LONGEST_KEPT:
+                        known[w] = e
+                entries[i] = e
         ids, scores, losses, _ = zip(*entries)
         total = sum(scores)
         # Of equal losses the leftmost count first.
-        weakest = sorted(heapq.nsmallest(self.best - 1, range(len(losses)), key=losses.__getitem__)) if self.best > 1 else []
+        weakest: list[int] = []
+        if self.best > 1:
+            rest = list(losses)
+            for _ in range(min(self.best - 1, len(rest))):
+                weakest.append(rest.index(min(rest)))
+                rest[weakest[-1]] = _NONE
+            weakest = sorted({i for i in weakest if losses[i] < _NONE})
         combos: list[tuple[float, tuple]] = [(0.0, ())]
         for i in weakest:
             first = entries[i][1]

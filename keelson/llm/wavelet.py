@@ -219,7 +219,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | N
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), *[pa.int64()] * 5))], names=["path", "part", "shard", "n_docs", "n_tokens", "n_bytes"])
 
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), code.encode(b.column(1).to_pylist())):
+            for d, x in zip(b.column(0).to_pylist(), code.encode(b.column(1).cast(pa.binary()).to_pylist())):
                 ids.append(d)
                 parts.append(x)
                 size += len(x) + 1
