@@ -7,8 +7,8 @@ both: equal fragments (hashed) bring candidates together, without losing any. Se
 bands of like sizes. Fragments of fewer than two n-grams join unlike documents by chance; spare fragments make
 them unnecessary, save for the few sets that have more of them than spares, which use all theirs.
 
-Candidates that share a fragment are gathered round one of them (the one sharing most, the pivot), once per
-pivot, not once per fragment. Inside such a group overlaps are counted fragment by fragment
+Candidates that share a fragment are gathered round one of them (the pivot), once per pivot, not once per
+fragment. Inside such a group overlaps are counted fragment by fragment
 and summed per pair, first with the pivot, then from each set not yet linked to it against those of other
 components; a pair is dropped when what is left cannot reach the bound. Only a spanning set of
 links leaves a group. Groups above a size are dealt in blocks, each pair of blocks a task of its
@@ -22,6 +22,7 @@ Only doc_id and text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,18 +69,28 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
 
 
 class Bands:
-    """Size bands for a threshold percent/100, with fragments and spares of each."""
+    """Size bands for a threshold percent/100: fragments, spares, and the fewest n-grams a fragment needs to count."""
 
     def __init__(self, percent: int, largest: int = 1 << 40):
-        self.percent, self.upper, self.count, self.spare = percent, [0], [0], [0]
+        self.percent, self.upper, self.count, self.spare, self.fewest = percent, [0], [0], [0], [1]
         low = 1
         while self.upper[-1] < largest:
             high = max(low, int(low * GROWTH))
             differ = high * (100 - percent) // percent
-            spare = min(3, differ // 6)
+            k, spare, fewest = differ + 1, 0, FEWEST
+            for fewest in (FEWEST, 1):
+                k = differ + 1
+                for _ in range(20):
+                    mean = low / k
+                    few = math.exp(-mean) * (1 + mean if fewest == 2 else 1)
+                    spare = min(differ // 2, math.ceil(1.5 * k * few))
+                    k = differ + 1 + spare
+                if spare <= differ // 5:
+                    break
             self.upper.append(high)
-            self.count.append(differ + 1 + spare if differ else 0)
+            self.count.append(k if differ else 0)
             self.spare.append(spare)
+            self.fewest.append(fewest)
             low = high + 1
         self.edges = np.array(self.upper)
 
@@ -112,7 +123,7 @@ def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
             total = sums[edge[1:]] - sums[edge[:-1]]
             tag = np.full(k, b * 4 + way, dtype=np.uint64) * _C + np.arange(k, dtype=np.uint64) * _A
             key = _mix(total + _mix(tag) * _B + size.astype(np.uint64))
-            ways.append((key, size >= FEWEST))
+            ways.append((key, size >= bands.fewest[b]))
         poor = all((~big).sum() > spare for _, big in ways)
         out += [key if poor else key[big] for key, big in ways]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -122,39 +133,68 @@ def _node(x: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes(), seed=len(x))).astype(np.int64)) if len(x) else None
 
 
-def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node, and the signatures (once per node and task)."""
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [shingles(t, n) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in x], pa.int64()), pa.array([_node(v) for v in x], pa.int64())], names=["doc_id", "n_shingles", "node"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+
+
+def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sign, doc): the signatures of every set, once per set and task; doc is the document's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for b in batches:
-            sizes, nodes, signs = [], [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
+            keys, signs, counts = [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 x = shingles(t, n)
                 v = _node(x)
-                sizes.append(len(x))
-                nodes.append(v)
                 if v is None or v in seen:
-                    signs.append(None)
-                else:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(v)
-                    signs.append(signatures(x, bands).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "signs"])
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(v)
+                s = signatures(x, bands)
+                keys.append(d)
+                signs.append(s)
+                counts.append(len(s))
+            flat = np.concatenate(signs).view(np.int64) if signs else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, dtype=np.int64), counts))], names=["sign", "doc"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, signs array<long>")
+    return docs.mapInArrow(run, "sign long, doc long")
 
 
-def _arrays(docs: DataFrame, n: int) -> DataFrame:
-    """(node, x) of every text."""
+def _members(docs: DataFrame, n: int) -> DataFrame:
+    """docs(key, text, deals) to a row per deal: pivot, a, b, later, side, node, x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pivot", "a", "b", "side", "later", "node", "x"]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            c = list(zip(*rows)) if rows else [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.bool_()), pa.array(c[5], pa.int64()), pa.array(c[6], pa.list_(pa.int64()))], names=names)
+
         for b in batches:
-            x = [shingles(t, n) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(v) for v in x], pa.int64()), pa.array([v.astype(np.int64) for v in x], pa.list_(pa.int64()))], names=["node", "x"])
+            rows, size = [], 0
+            for d, t, deals in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+                x = shingles(t, n)
+                v = _node(x)
+                if v is None:
+                    continue
+                for g in deals:
+                    rows.append((g["pivot"], g["a"], g["b"], g["side"], d != g["pivot"], v, x.view(np.int64)))
+                    size += len(x)
+                    if size > 1 << 20:
+                        yield out(rows)
+                        rows, size = [], 0
+            yield out(rows)
 
-    return docs.mapInArrow(run, "node long, x array<long>")
+    return docs.mapInArrow(run, "pivot long, a long, b long, side int, later boolean, node long, x array<long>")
 
 
 def link_group(nodes: list[int], sets: list[np.ndarray], percent: int, blocks: list[int] | None = None) -> list[tuple[int, int]]:
@@ -247,35 +287,45 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, "src long, dst long")
 
 
+def _groups(signed: DataFrame) -> DataFrame:
+    """(pivot, doc): groups such that two documents with a signature in common meet in one of them.
+
+    The pivot of a signature is the least document that has it. A pivot that stands under a lesser one
+    itself gives its group to that, so copies of one text gather in few groups.
+    """
+    least = F.min("doc").over(Window.partitionBy("sign"))
+    pairs = cut(signed.select(least.alias("pivot"), "doc").filter("pivot <> doc").distinct())
+    above = pairs.groupBy(F.col("doc").alias("pivot")).agg(F.min("pivot").alias("top"))
+    given = pairs.join(above, "pivot", "left").withColumn("top", F.coalesce("top", "pivot"))
+    every = given.select(F.col("top").alias("pivot"), F.explode(F.array("top", "pivot", "doc")).alias("doc"))
+    return every.distinct()
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     spark = ship(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut(_sets(named, n, percent))
-    # Fragments that two or more nodes share.
-    signed = sets.filter("signs is not null").select("node", F.explode("signs").alias("sign"))
-    line = Window.partitionBy("sign").orderBy("node")
-    near = signed.select("sign", "node", F.lag("node").over(line).alias("p"), F.lead("node").over(line).alias("q"))
-    new = F.col("p").isNull() | (F.col("p") != F.col("node"))
-    shared = cut(near.filter(new & (F.col("p").isNotNull() | F.col("q").isNotNull())).select("sign", "node"))
-    weight = shared.groupBy("node").agg(F.count("*").alias("w"))
-    heavy = shared.join(weight, "node")
-    best = heavy.groupBy("sign").agg(F.max(F.struct("w", "node")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("sign", F.col("m.node").alias("pivot"))
-    groups = cut(shared.join(best, "sign").select("pivot", "node").distinct())
-    # The sets of all nodes in groups, from one text of each.
-    wanted = groups.select("node").distinct()
-    first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("one")).join(wanted, "node", "left_semi").select("one").distinct()
-    arrays = cut(_arrays(named.join(first, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi").select("text"), n))
-    size = groups.join(arrays.select("node", F.size("x").alias("s")), "node")
-    deal = size.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("s") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("k"))
-    dealt = groups.join(deal, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
+    # Rows without an id get a key from their text; keys only bring candidates together.
+    keyed = named.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
+    sets = cut(_sets(named, n))
+    groups = cut(_groups(_signed(keyed, n, percent)))
+    # Groups are dealt in blocks by their number of shingles and of members.
+    deal = groups.join(_sizes(sets, named), "doc").groupBy("pivot").agg(F.greatest(F.ceil(F.sum("s") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("k"))
+    dealt = groups.join(deal, "pivot").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("k")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-    paired = dealt.select("pivot", "node", "block", other.alias("o")).select("pivot", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), "node", (F.col("block") > F.col("o")).cast("int").alias("side"))
-    full = paired.join(arrays, "node").select("pivot", "a", "b", "node", "side", "x", (F.col("node") != F.col("pivot")).alias("later"))
-    members = full.repartition(partitions(spark), "pivot", "a", "b").sortWithinPartitions("pivot", "a", "b", "later", "node").drop("later")
-    comps = connected_components(_links(members, percent))
-    named_nodes = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, F.col("node") == F.col("vertex"), "left")
-    ids = named_nodes.withColumn("component", F.coalesce("component", "node"))
+    paired = dealt.select("pivot", "doc", "block", other.alias("o")).select("doc", F.struct("pivot", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), (F.col("block") > F.col("o")).cast("int").alias("side")).alias("g"))
+    deals = paired.groupBy(F.col("doc").alias("key")).agg(F.collect_list("g").alias("deals"))
+    members = _members(keyed.join(deals, "key").select("key", "text", "deals"), n)
+    together = members.repartition(partitions(spark), "pivot", "a", "b").sortWithinPartitions("pivot", "a", "b", "later", "node").select("pivot", "a", "b", "node", "side", "x")
+    comps = connected_components(_links(together, percent))
+    ids = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, F.col("node") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = ids.join(least, "component").select("node", "component_id")
     return sets.select("doc_id", "n_shingles", "node").join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _sizes(sets: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc, s): shingles of each key; keys of rows without an id count as one block's worth of members only."""
+    known = sets.filter("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n_shingles").alias("s"))
+    keys = named.filter("doc_id is null").select(F.xxhash64("text").alias("doc"), F.length("text").cast("long").alias("s")).distinct()
+    return known.unionByName(keys).groupBy("doc").agg(F.max("s").alias("s"))
