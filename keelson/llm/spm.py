@@ -23,6 +23,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,12 @@ SPACE = "▁"
 BEST = 3
 UNKNOWN_PENALTY = 10.0
 NEVER = -1e8  # models give such scores to pieces that no merge makes; they are no measure of the rest
-_MOST_KEPT = 600_000
+_MOST_KEPT = 400_000
+_SLOTS, _ENTRIES, _POOL = 1 << 21, 2_000_000, 8_000_000
+_KEYS = 3
+_KEY_BYTES = 8 * _KEYS  # the last byte of a key holds the length
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_SPACE_BYTES = SPACE.encode()
 _LONGEST_KEPT = 48
 _RAW = "\0"  # before strings that are taken as they are
 _LEAST, _NONE = float("-inf"), float("inf")
@@ -52,6 +58,7 @@ class Pieces:
         self.pairs = {p[i : i + 2] for p in vocabulary for i in range(len(p) - 1)}
         # Before a space mark after another character a lattice falls apart, unless some piece spans it.
         self.by_words = not any(p[1] == SPACE and p[0] != SPACE for p in self.pairs)
+        self.slots = None
         self.words: dict[str, tuple] = {}
         self.parts: dict[str, list] = {}
         self.spelling = {i: p.replace(SPACE, " ").encode() for p, (i, _) in vocabulary.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
@@ -185,10 +192,7 @@ class Pieces:
                 weakest.append(rest.index(min(rest)))
                 rest[weakest[-1]] = _NONE
             weakest = sorted({i for i in weakest if losses[i] < _NONE})
-        combos: list[tuple[float, tuple]] = [(0.0, ())]
-        for i in weakest:
-            first = entries[i][1]
-            combos = heapq.nsmallest(self.best, ((c + first - s, p + ((i, k),)) for c, p in combos for k, (s, _) in enumerate(entries[i][3])))
+        combos = self._combined([(i, entries[i][3]) for i in weakest])
         out = []
         for loss, picks in combos:
             changed = [(i, k) for i, k in picks if k]
@@ -201,6 +205,114 @@ class Pieces:
             out.append((total - loss, b"".join(other)))
         return out
 
+    def _places(self, raw: list[bytes]):
+        """Words of all texts at once: their start, size and key, and the first word of each text."""
+        data = b" ".join(raw) + bytes(_KEY_BYTES + 8)
+        buf = np.frombuffer(data, dtype=np.uint8)
+        total = len(data) - _KEY_BYTES - 8
+        starts = np.concatenate([[0], np.flatnonzero(buf[:total] == 32) + 1])
+        sizes = np.append(starts[1:] - 1, total) - starts
+        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])[:-1]]))
+        view = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        keys = [view[starts + 8 * k] & _MASKS[np.clip(sizes - 8 * k, 0, 8)] for k in range(_KEYS)]
+        keys[-1] |= np.minimum(sizes, 255).astype(np.uint64) << np.uint64(56)
+        return data, starts, sizes, first, keys
+
+    def encode_batch(self, texts: list[bytes | None]) -> list[list[tuple[float, bytes]]]:
+        """encode() of many texts: words are looked up together, in a table that holds their very bytes and
+        lengths as integers, so that a hit is exact; the last word met in a slot stays."""
+        out: list = [None] * len(texts)
+        plain = []
+        for k, t in enumerate(texts):
+            if not t or not self.prefix or not self.by_words or b"  " in t or t[:1] == b" " or t[-1:] == b" " or _SPACE_BYTES in t:
+                out[k] = self.encode(t.decode() if t else None)
+            else:
+                plain.append(k)
+        if not plain:
+            return out
+        if self.slots is None:
+            self.slots, self.slot_keys = np.zeros(_SLOTS, dtype=np.int32), np.zeros((_SLOTS, _KEYS), dtype=np.uint64)
+            self.entry = {n: np.zeros(_ENTRIES, dtype=d) for n, d in (("place", np.int64), ("count", np.int64), ("score", np.float64), ("loss", np.float64))}
+            self.pool, self.used, self.entries = np.zeros(_POOL, dtype=np.uint32), 0, 1
+        data, starts, sizes, first, keys = self._places([texts[k] for k in plain])
+        h = keys[0] * np.uint64(0x9E3779B97F4A7C15)
+        for x in keys[1:]:
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + x * np.uint64(0x94D049BB133111EB)
+        slot = ((h ^ (h >> np.uint64(32))) & np.uint64(_SLOTS - 1)).astype(np.int64)
+        short = sizes < _KEY_BYTES
+        hit = short.copy()
+        for k in range(_KEYS):
+            hit &= self.slot_keys[slot, k] == keys[k]
+        which = np.where(hit, self.slots[slot], 0)
+        miss = np.flatnonzero(~hit)
+        known: dict[bytes, int] = {}
+        order = [known.setdefault(data[s : s + n], len(known)) for s, n in zip(starts[miss].tolist(), sizes[miss].tolist())]
+        fresh = [self.word(SPACE + w.decode()) for w in known]
+        flat = np.frombuffer(b"".join([e[0] for e in fresh]), dtype=np.uint32)
+        if self.used + len(flat) > _POOL or self.entries + len(fresh) > _ENTRIES:
+            self.slot_keys[:] = 0
+            self.used, self.entries = 0, 1
+            if len(flat) > _POOL or len(fresh) + 1 > _ENTRIES:
+                for k in plain:
+                    out[k] = self.encode(texts[k].decode())
+                return out
+            if hit.any():  # what the table had is gone: begin again with it empty
+                for k, got in zip(plain, self.encode_batch([texts[k] for k in plain])):
+                    out[k] = got
+                return out
+        e0, n = self.entries, len(fresh)
+        if n:
+            count = np.array([len(e[0]) // 4 for e in fresh])
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.entry["count"][e0 : e0 + n] = count
+            self.entry["place"][e0 : e0 + n] = self.used + np.cumsum(count) - count
+            self.entry["score"][e0 : e0 + n] = [e[1] for e in fresh]
+            self.entry["loss"][e0 : e0 + n] = [e[2] for e in fresh]
+            self.used, self.entries = self.used + len(flat), e0 + n
+            which[miss] = e0 + np.array(order)
+            keep = miss[short[miss]]
+            _, last = np.unique(slot[keep][::-1], return_index=True)
+            keep = keep[len(keep) - 1 - last]
+            for k in range(_KEYS):
+                self.slot_keys[slot[keep], k] = keys[k][keep]
+            self.slots[slot[keep]] = which[keep]
+        count, loss = self.entry["count"][which], self.entry["loss"][which]
+        totals = np.add.reduceat(self.entry["score"][which], first).tolist()
+        ends = np.cumsum(count)
+        ids = self.pool[np.repeat(self.entry["place"][which] - (ends - count), count) + np.arange(int(ends[-1]))].tobytes()
+        edge = np.append(first, len(starts)).tolist()
+        for k, a, z, total in zip(plain, edge, edge[1:], totals):
+            begin = int(ends[a - 1]) if a else 0
+            whole = ids[4 * begin : 4 * int(ends[z - 1])]
+            rest, weakest = loss[a:z].copy(), []
+            for _ in range(min(self.best - 1, z - a)):
+                i = int(rest.argmin())
+                if rest[i] == _NONE:
+                    break
+                weakest.append(a + i)
+                rest[i] = _NONE
+            weakest.sort()
+            choices = {i: self.word(SPACE + data[starts[i] : starts[i] + sizes[i]].decode())[3] for i in weakest}
+            got = []
+            for lost, picks in self._combined([(i, choices[i]) for i in weakest]):
+                parts, at = [], 0
+                for i, c in picks:
+                    if c:
+                        here = 4 * (int(ends[i] - count[i]) - begin)
+                        parts += [whole[at:here], choices[i][c][1]]
+                        at = here + 4 * int(count[i])
+                got.append((total - lost, b"".join([*parts, whole[at:]]) if parts else whole))
+            out[k] = got
+        return out
+
+    def _combined(self, weakest: list[tuple[int, list]]) -> list[tuple[float, tuple]]:
+        """The ``best`` cheapest (loss, ((word, choice), ...)) over the words that lose least by another choice."""
+        combos: list[tuple[float, tuple]] = [(0.0, ())]
+        for i, choices in weakest:
+            top = choices[0][0]
+            combos = sorted([(c + top - s, p + ((i, k),)) for c, p in combos for k, (s, _) in enumerate(choices)])[: self.best]
+        return combos
+
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.spelling.__getitem__, array("I", ids)))
         if self.prefix and raw.startswith(b" "):
@@ -231,8 +343,7 @@ def nbest(docs: DataFrame, best: int = BEST, path: str | None = None, emit: str
         kind = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), (last[0], last[2])]))
         for b in batches:
             rows, decoded = [], []
-            for t in b.column(1).to_pylist():
-                got = m.encode(t)
+            for got in m.encode_batch(b.column(1).cast(pa.binary()).to_pylist()):
                 rows.append([{"score": s, "n_pieces": len(i) // 4, last[0]: array("I", i).tolist() if emit == "ids" else zlib.crc32(i)} for s, i in got])
                 decoded.append(hashlib.sha256(m.decode(got[0][1]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind), pa.array(decoded, pa.string())], names=["doc_id", "nbest", "decoded_sha256"])
