@@ -194,7 +194,7 @@ def bind(rows: DataFrame) -> dict[str, DataFrame]:
     soft = (F.col("language") == "typescript") & (kind == "TypeReference")
     sure = hit.select("source", F.col("to").alias("target"), kind.alias("kind"), F.when(soft, "Soft").otherwise("Hard").alias("hardness"), F.lit(1.0).alias("confidence"))
     once = nodes.filter("language = 'rust'").groupBy(F.col("name").alias("item")).agg(F.count("*").alias("n"), F.min("id").alias("target")).filter("n = 1")
-    guess = rows.filter("what = 'guess'").join(own, ["path", "name"]).join(once, "item").filter("source <> target").select("source", "target", F.lit("Call").alias("kind"), F.lit("Soft").alias("hardness"), F.lit(FALLBACK).alias("confidence"))
+    guess = rows.filter("what = 'guess'").drop("target").join(own, ["path", "name"]).join(once, "item").filter("source <> target").select("source", "target", F.lit("Call").alias("kind"), F.lit("Soft").alias("hardness"), F.lit(FALLBACK).alias("confidence"))
     best = Window.partitionBy("source", "target", "kind").orderBy(F.when(F.col("hardness") == "Hard", 0).otherwise(1), F.desc("confidence"))
     edges = sure.unionByName(guess).withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k")
     return {"nodes": nodes, "edges": edges}
