@@ -30,6 +30,16 @@ def vi_distance(x: DataFrame, y: DataFrame) -> DataFrame:
     return row.select(F.greatest(F.lit(0.0), F.coalesce(2 * F.col("h_ab") - F.col("h_a") - F.col("h_b"), F.lit(0.0))).alias("vi"))
 
 
+def vi_matrix(partitions: dict[str, DataFrame]) -> DataFrame:
+    """(a, b, vi) for every two of a few partitions."""
+    names = sorted(partitions)
+    rows = [vi_distance(partitions[a], partitions[b]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "vi") for a in names for b in names if a < b]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def pair_f1(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Precision, recall and F1 of co-membership pairs, from counts of the contingency table; 0/0 is 1."""
     cells = _cells(expected, found)

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson import functions as K
 from keelson import schema
-from keelson.operators import advice, cluster, findings, graph, hierarchy, kernels, moves, partition, score
+from keelson import model
+from keelson.operators import advice, cluster, findings, graph, hierarchy, moves, partition, score, symbols
 from keelson.operators.components import connected_components
 from keelson.plans.projections import Tables
 from keelson.session import cut, ship
@@ -720,12 +721,49 @@ def path_collisions(t: Tables) -> DataFrame:
     return moves.collisions(p)
 
 
-@query(_sql("select min(source) source, test from (select distinct c.path as source, d.path test from pf c join pf d on d.path = regexp_replace(c.path, '/(en|fr|de|es)/[^/]*$', '') || '/' || regexp_extract(c.path, '([^/]*)\\.html$', 1) || '.html') group by test having count(*) = 1", "pf"))
+@query("""with c as (select distinct 'part/' || p_partkey as source, 'part/' || (2 * p_partkey // 3) test from part)
+select min(source) source, test from c where test in (select 'part/' || p_partkey from part) group by test having count(*) = 1""")
 def unique_pairs(t: Tables) -> DataFrame:
-    """Pages host/lang/leaf and a claimed twin host/leaf, claimed by one page only."""
-    files = t.page_files.select("path").distinct()
-    top, leaf = F.regexp_replace("path", r"/(en|fr|de|es)/[^/]*$", ""), F.regexp_extract("path", r"([^/]*)\.html$", 1)
-    return moves.test_pairs(files.select(F.col("path").alias("source"), F.concat(top, F.lit("/"), leaf, F.lit(".html")).alias("test")), files)
+    """Parts as files; each claims the part at two thirds of its number."""
+    p = F.col("p_partkey")
+    files = t["part"].select(F.concat(F.lit("part/"), p.cast("string")).alias("path")).distinct()
+    claims = t["part"].select(F.concat(F.lit("part/"), p.cast("string")).alias("source"), F.concat(F.lit("part/"), F.floor(2 * p / 3).cast("string")).alias("test"))
+    return moves.test_pairs(claims, files)
+
+
+@query(_sql("""select id, file, round(pull, 4) pull, rank from (select *, row_number() over (partition by id order by round(pull, 6) desc, file) as rank from (
+  select p.id, p.file, p.pull from pulls p left join pulls s on s.id = p.id and s.file = s.own where p.file <> p.own and p.pull > 0 and (p.kind <> 'Type' or round(p.pull, 6) > round(coalesce(s.pull, 0), 6)))) where rank <= 4""", "opriced", "onode", "aff", "zone",
+            nr="select source id, target other, weight from opriced union all select target, source, weight from opriced union all select companion, owner, 0.05 from aff",
+            pulls="select a.id, any_value(a.kind) kind, a.container own, b.container as \"file\", sum(weight) pull from nr join onode a on nr.id = a.id join onode b on nr.other = b.id where a.kind <> 'FileBody' and a.container not in (select file from zone) and b.container not in (select file from zone) group by 1, 3, 4"))
+def symbol_nominations(t: Tables) -> DataFrame:
+    nodes = t.org_nodes.select("id", "kind", F.col("container").alias("file"))
+    return symbols.nominations(_priced(t), nodes, _zone(t), t.affinities).select("id", "file", _r("pull").alias("pull"), "rank")
+
+
+@query(_sql("select source, target, kind, hardness, round(confidence, 4) confidence from (select *, row_number() over (partition by source, target, kind order by hardness, confidence desc) k from oedge) where k = 1", "oedge"))
+def edge_dedup(t: Tables) -> DataFrame:
+    return model.deduplicated_edges(t.org_edges).select("source", "target", "kind", "hardness", _r("confidence").alias("confidence"))
+
+
+@query(_sql("select container as \"file\" from onode group by 1 having bool_and(polarity = 'TestCase')", "onode"))
+def case_only_files(t: Tables) -> DataFrame:
+    return findings.case_only_files(t.org_nodes.withColumn("file", F.col("container")))
+
+
+@query(_sql("select id, case when public_api then 'Production' when acctbal < 0 and polarity = 'Production' then 'TestSupport' else polarity end polarity from onode join cust on container = cust.file", "onode", "cust"))
+def relabelled_nodes(t: Tables) -> DataFrame:
+    """Test policy: customers in debt are test files, urgent orders are negated."""
+    n = t.org_nodes.join(t.customers.select(F.col("file").alias("container"), "acctbal"), "container")
+    return findings.relabelled(n, F.col("acctbal") < 0, F.col("public_api")).select("id", "polarity")
+
+
+@query(_sql("""select x.n a, y.n b, round(greatest(0, 2 * (select sum(-c / t * ln(c / t)) from (select count(*)::double c from cust group by case x.n when 'domain' then domain::varchar when 'package' then package::varchar else segment end, case y.n when 'domain' then domain::varchar when 'package' then package::varchar else segment end), tot)
+  - (select sum(-c / t * ln(c / t)) from (select count(*)::double c from cust group by case x.n when 'domain' then domain::varchar when 'package' then package::varchar else segment end), tot)
+  - (select sum(-c / t * ln(c / t)) from (select count(*)::double c from cust group by case y.n when 'domain' then domain::varchar when 'package' then package::varchar else segment end), tot)), 4)::double vi
+  from (values ('domain'), ('package'), ('segment')) x(n), (values ('domain'), ('package'), ('segment')) y(n) where x.n < y.n""", "cust", tot="select count(*)::double t from cust"))
+def vi_matrix(t: Tables) -> DataFrame:
+    parts = {k: t.customers.select(F.col("cust").alias("vertex"), F.col(k).cast("string").alias("cluster")) for k in ("domain", "package", "segment")}
+    return partition.vi_matrix(parts).select("a", "b", _r("vi").alias("vi"))
 
 
 @query(_sql("select r.id, count(distinct case when n.file <> r.file then n.file end) broken from reloc r left join (select source a, target b from oedge union all select target, source from oedge) e on r.id = e.a left join reloc n on e.b = n.id where r.file <> r.start_file group by 1", "reloc", "oedge"))
