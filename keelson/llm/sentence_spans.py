@@ -5,9 +5,10 @@ occurrence is removed.
 A sentence ends after . ! or ? before white space, or at a line end; white space around and
 between its words and the case of A-Z do not count. Spans of fewer than ``min_words`` words
 are grown by further sentences until they have them, so short stock phrases are not taken
-for passages. First is the occurrence with the smallest (doc_id, position).
+for passages; a sentence of ``ALONE`` words or more also is a span by itself, so that a passage of
+a few long sentences, cut at both ends, is found too. First is the occurrence with the smallest (doc_id, position).
 
-Cases. Null or empty text: no sentences, nothing removed, text kept as it is. Fewer sentences than a run: kept. Null
+Cases. Null or empty text: no sentences, nothing removed, text kept as it is. Fewer sentences than a run, none of them long: kept. Null
 doc_id: comes before all others. Rows with the same doc_id and text are one document and are both kept or
 cut alike. Ties cannot arise. Empty table: no rows. Only doc_id and text are read.
 """
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from keelson.session import ship
 
-RUN = 3
+RUN = 2
 MIN_WORDS = 12
+ALONE = 24  # a sentence of so many words is a span by itself
 _ENDS = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
 
 
@@ -42,20 +44,26 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out if text[a:z].strip()]
 
 
-def spans(text: bytes, run_length: int = RUN, min_words: int = MIN_WORDS) -> tuple[int, list[tuple[int, int, int, int]]]:
+def spans(text: bytes, run_length: int = RUN, min_words: int = MIN_WORDS, alone: int = ALONE) -> tuple[int, list[tuple[int, int, int, int]]]:
     """Number of sentences, and (hash high, hash low, first sentence, sentences) of every run."""
     words = [text[a:z].lower().split() for a, z in sentences(text)]
     n = len(words)
     joined, sizes = [b" ".join(w) for w in words], [len(w) for w in words]
     out = []
-    for i in range(n - run_length + 1):
+
+    def add(i: int, j: int) -> None:
+        d = xxhash.xxh3_128_digest(b"\n".join(joined[i:j]))
+        out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), i, j - i))
+
+    for i in range(n):
+        if sizes[i] >= alone:
+            add(i, i + 1)
         j, count = i + run_length, sum(sizes[i : i + run_length])
         while count < min_words and j < n:
             count += sizes[j]
             j += 1
-        if count >= min_words:
-            d = xxhash.xxh3_128_digest(b"\n".join(joined[i:j]))
-            out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), i, j - i))
+        if j <= n and count >= min_words:
+            add(i, j)
     return n, out
 
 

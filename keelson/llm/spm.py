@@ -58,7 +58,7 @@ class Pieces:
         self.pairs = {p[i : i + 2] for p in vocabulary for i in range(len(p) - 1)}
         # Before a space mark after another character a lattice falls apart, unless some piece spans it.
         self.by_words = not any(p[1] == SPACE and p[0] != SPACE for p in self.pairs)
-        self.slots = None
+        self.slots = self.letters = None
         self.words: dict[str, tuple] = {}
         self.parts: dict[str, list] = {}
         self.spelling = {i: p.replace(SPACE, " ").encode() for p, (i, _) in vocabulary.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
@@ -102,19 +102,35 @@ class Pieces:
                 p = get(s[i:j])
                 if p is None:
                     break
-        queue = [(-score[n], b"", n, 0.0)]
+        # Of an edge counts what it loses against the best way to its end; a path's losses add up. Every
+        # entry of the queue has a completion that loses no more, so entries that lose more than ``best``
+        # others known so far are left out.
+        queue: list[tuple[float, bytes, int]] = [(0.0, b"", n)]
         out: list[tuple[float, bytes]] = []
-        pop, push, best = heapq.heappop, heapq.heappush, self.best
+        pop, push, best, top, known, worst = heapq.heappop, heapq.heappush, self.best, score[n], [0.0], _NONE
+        if best == 1:
+            worst = 0.0
         while queue:
-            _, ids, j, done = pop(queue)
+            loss, ids, j = pop(queue)
             if not j:
-                out.append((done, ids))
+                out.append((top - loss, ids))
                 if len(out) == best:
                     break
                 continue
+            full, first = score[j], True
             for i, w, p in into[j]:
-                so_far = done + w
-                push(queue, (-(so_far + score[i]), p + ids, i, so_far))
+                way = score[i] + w
+                more = loss if way == full else loss + (full - way)
+                if first and way == full:
+                    first = False
+                elif more > worst:
+                    continue
+                else:
+                    known.append(more)
+                    if len(known) >= best:
+                        known.sort()
+                        worst = known[best - 1]
+                push(queue, (more, p + ids, i))
         return out
 
     def _merge(self, choices: list[list[tuple[float, bytes]]]) -> list[tuple[float, bytes]]:
@@ -319,6 +335,26 @@ class Pieces:
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
+    def decode_batch(self, many: list[bytes]) -> list[bytes]:
+        """decode() of many id strings, as UTF-8."""
+        if self.letters is None:
+            top = max(self.spelling, default=0) + 1
+            size = np.zeros(top, dtype=np.int64)
+            for i, b in self.spelling.items():
+                size[i] = len(b)
+            self.letters = np.frombuffer(b"".join(self.spelling.get(i, b"") for i in range(top)), dtype=np.uint8), np.cumsum(size) - size, size
+        letters, place, size = self.letters
+        ids = np.frombuffer(b"".join(many), dtype=np.uint32)
+        sizes = size[ids]
+        ends = np.cumsum(sizes)
+        flat = letters[np.repeat(place[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        out, at = [], 0
+        cuts = np.concatenate([[0], ends])[np.cumsum([len(m) // 4 for m in many])].tolist() if many else []
+        for z in cuts:
+            out.append(flat[at + 1 : z] if self.prefix and flat[at : at + 1] == b" " and z > at else flat[at:z])
+            at = z
+        return out
+
 
 def model(path: str, best: int = BEST) -> Pieces:
     if (path, best) not in _MODELS:
@@ -342,10 +378,9 @@ def nbest(docs: DataFrame, best: int = BEST, path: str | None = None, emit: str
         m = model(path, best)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), (last[0], last[2])]))
         for b in batches:
-            rows, decoded = [], []
-            for got in m.encode_batch(b.column(1).cast(pa.binary()).to_pylist()):
-                rows.append([{"score": s, "n_pieces": len(i) // 4, last[0]: array("I", i).tolist() if emit == "ids" else zlib.crc32(i)} for s, i in got])
-                decoded.append(hashlib.sha256(m.decode(got[0][1]).encode()).hexdigest())
+            found = m.encode_batch(b.column(1).cast(pa.binary()).to_pylist())
+            rows = [[{"score": s, "n_pieces": len(i) // 4, last[0]: array("I", i).tolist() if emit == "ids" else zlib.crc32(i)} for s, i in got] for got in found]
+            decoded = [hashlib.sha256(x).hexdigest() for x in m.decode_batch([got[0][1] for got in found])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind), pa.array(decoded, pa.string())], names=["doc_id", "nbest", "decoded_sha256"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

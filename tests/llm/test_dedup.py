@@ -12,17 +12,23 @@ from keelson.llm import jaccard, sentence_spans, suffix
 # --- sentence spans ------------------------------------------------------------------------------
 
 
-def slow_spans(rows, run=3, least=12):
+def slow_spans(rows, run=sentence_spans.RUN, least=sentence_spans.MIN_WORDS):
     seen, spans = {}, []
     for i, t, *_ in rows:
         words = [t.encode()[a:z].lower().split() for a, z in sentence_spans.sentences(t.encode())] if t else []
-        for k in range(len(words) - run + 1):
+        for k in range(len(words)):
+            place = (i if i is not None else -(1 << 63), k)
+            if len(words[k]) >= sentence_spans.ALONE:
+                key = (b" ".join(words[k]),)
+                spans.append((key, place, k + 1))
+                seen[key] = min(seen.get(key, place), place)
             j = k + run
+            if j > len(words):
+                continue
             while sum(map(len, words[k:j])) < least and j < len(words):
                 j += 1
             if sum(map(len, words[k:j])) >= least:
                 key = tuple(b" ".join(w) for w in words[k:j])
-                place = (i if i is not None else -(1 << 63), k)
                 spans.append((key, place, j))
                 seen[key] = min(seen.get(key, place), place)
     gone = {}

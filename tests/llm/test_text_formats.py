@@ -110,7 +110,7 @@ def test_nbest_matches_every_segmentation():
     for _ in range(300):
         vocabulary = {}
         for k in range(rng.randint(2, 14)):
-            vocabulary.setdefault("".join(rng.choice("ab▁c.") for _ in range(rng.randint(1, 3))), (300 + k, -float(rng.randint(1, 50))))
+            vocabulary.setdefault("".join(rng.choice("ab▁c.") for _ in range(rng.randint(1, 3))), (300 + k, -rng.random() * 9 if rng.random() < 0.5 else -float(rng.randint(1, 5))))
         m = spm.Pieces(vocabulary, list(range(256)), best=rng.randint(1, 5))
         x = "".join(rng.choice("ab c.d\0") for _ in range(rng.randint(0, 9)))
         got = m.encode(x)
