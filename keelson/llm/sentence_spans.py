@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.session import ship
+from keelson.session import cut, ship
 
 RUN = 2
 MIN_WORDS = 12
@@ -108,7 +108,8 @@ def repeated_sentences(docs: DataFrame, run_length: int = RUN, min_words: int =
     found = docs.select(_id().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, h1 long, h2 long, first int, size int")
     # Partial counts and minima leave each task as one row per hash, however often it occurs there.
     place = F.struct("doc", "first")
-    repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least < most").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "least")
+    # It is cut off, so that the join shuffles both its sides and a hot hash can be split among tasks.
+    repeated = cut(found.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least < most").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "least"))
     later = found.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).filter(F.struct("doc", "first") > F.col("least"))
     gone = later.select("doc", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("at"))
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("removed"))

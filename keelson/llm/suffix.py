@@ -233,8 +233,9 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
             yield pa.RecordBatch.from_arrays([pa.array(ts, pa.binary()), pa.array(_signed(flat(ks, np.uint64))), pa.array(flat(fs, np.int64)), pa.array(flat(ns, np.int64)), pa.array(flat(os, bool))], names=["t", "key", "first", "n", "own"])
 
     found = texts.mapInArrow(find, "t binary, key long, first long, n long, own boolean")
-    often = found.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z"), F.max("own").alias("own"), F.count("*").alias("c")).filter("own or a <> z").select("key", "c")
-    wanted = found.join(often, "key").groupBy("t").agg(F.collect_set(F.struct("first", "n", "key", (F.col("c") > hot).alias("hot"))).alias("runs"))
+    # Grouped sides are cut off before their joins: then both sides are shuffled, and hot keys can be split among tasks.
+    often = cut(found.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z"), F.max("own").alias("own"), F.count("*").alias("c")).filter("own or a <> z").select("key", "c"))
+    wanted = cut(found.join(often, "key").groupBy("t").agg(F.collect_set(F.struct("first", "n", "key", (F.col("c") > hot).alias("hot"))).alias("runs")))
     # One copy of each text is cut into pieces; which copy does not matter.
     rich = texts.join(wanted, "t").select("t", "text", "runs")
 
@@ -324,7 +325,7 @@ def _joined(docs: DataFrame, length: int, gram: int, *carried: str) -> DataFrame
     ranges = cut(repeated_ranges(named.filter(F.octet_length("text") >= length).select("t", "text"), length, gram))
     # Texts that occur twice or more are repeats as a whole.
     twice = named.filter(F.octet_length("text") >= length).groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t", F.lit(True).alias("whole"))
-    known = twice.join(ranges, "t", "full").select(F.col("t").alias("k"), "whole", F.when(F.col("whole").isNull(), F.col("ranges")).alias("ranges"))
+    known = cut(twice.join(ranges, "t", "full").select(F.col("t").alias("k"), "whole", F.when(F.col("whole").isNull(), F.col("ranges")).alias("ranges")))
     return named.join(known, F.col("t") == F.col("k"), "left").drop("t", "k")
 
 
