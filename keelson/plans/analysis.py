@@ -103,12 +103,13 @@ def layout_of(s: Snapshot, cfg: dict, profile: str) -> tuple[search.Layout, floa
     priced = graph.price_edges(s.edges, config.weights_of(p))
     home = homes.select("id", F.col("path").alias("file"))
     zone = files.filter("test").select(F.col("path").alias("file"))
-    edges = {(r["src"], r["dst"]): r["weight"] for r in graph.file_graph(priced, home, zone).collect()}
+    weights = lambda z: {(r["src"], r["dst"]): r["weight"] for r in graph.file_graph(priced, home, z).collect()}
+    edges, scored = weights(zone), weights(zone.limit(0))
     kinds = homes.select("id", "kind", "path")
     inner = priced.join(kinds.select(F.col("id").alias("source"), F.col("path").alias("pa"), F.col("kind").alias("ka")), "source").join(kinds.select(F.col("id").alias("target"), F.col("path").alias("pb"), F.col("kind").alias("kb")), "target").filter("pa = pb")
     mass = inner.agg(F.sum(F.col("weight") * findings.same_file_affinity("pa", "pb", "ka", "kb", p["weights"]["same-file-symbol"], p["weights"]["same-file-type"]))).first()[0] or 0.0
     caps = dict(zip(schema.LEVELS, (p["capacity"][k] for k in ("file", "folder", "domain", "package", "package-group"))))
-    return search.Layout(at, {k: f.folder for k, f in at.items()}, edges, config.objective_of(p), caps), mass
+    return search.Layout(at, {k: f.folder for k, f in at.items()}, edges, config.objective_of(p), caps, priced=scored), mass
 
 
 def _candidate(x: search.Layout, s: float) -> dict:

@@ -22,7 +22,10 @@ def test_golden_objectives():
     assert search.score(layout(two, both)) == pytest.approx(-0.075)
     assert search.score(layout(two, both, schema.GREENFIELD)) == pytest.approx(0.125)
     leak = files(("service.py", 3, *ws, frozenset({"service"})), ("conftest.py", 0, *ws, frozenset({"conftest"}), False, True))
-    assert search.score(layout(leak, {("service.py", "conftest.py"): 0.0})) == pytest.approx(-0.1)  # one empty file: imbalance 1
+    zoned, edge = {("service.py", "conftest.py"): 0.0}, {("service.py", "conftest.py"): 1.0}
+    for profile, want in ((schema.ANCHORED, 0.025), (schema.GREENFIELD, 0.225)):  # one empty file: imbalance 1
+        x = search.Layout(leak, {p: f.folder for p, f in leak.items()}, zoned, profile, priced=edge)
+        assert search.score(x) == pytest.approx(want)
     one = files(("lib.rs", 5, *ws, frozenset({"lib"})))
     assert search.score(layout(one, {}), inner_mass=5.0) == pytest.approx(-0.1375)
     assert search.score(layout(one, {}, schema.GREENFIELD), inner_mass=5.0) == pytest.approx(0.0625)

@@ -5,6 +5,7 @@ import pytest
 from keelson import cli, render
 from keelson.errors import KeelsonError
 from keelson.model import assemble, digest
+from keelson.operators import search
 from keelson.plans import analysis
 from keelson.sources import brace_source, config, discovery, python_source, results
 
@@ -46,6 +47,15 @@ def test_polarity_and_test_only(spark, tmp_path):
     assert ("Polarity", ("service.py", "conftest.py")) in got and ("TestOnly", ("service.py",)) in got
 
 
+def test_leaking_repository_has_the_known_objective(spark, tmp_path):
+    (tmp_path / "conftest.py").write_text("def sample_fixture():\n    return 1\n")
+    (tmp_path / "service.py").write_text("from conftest import sample_fixture\n\n\ndef serve():\n    return sample_fixture()\n")
+    cfg = config.defaults()
+    s = analysis.snapshot_from_path(spark, tmp_path, cfg)
+    for profile, want in (("anchored", 0.025), ("greenfield", 0.225)):
+        assert search.score(*analysis.layout_of(s, cfg, profile)) == pytest.approx(want)
+
+
 def test_capacity_finding(spark, tmp_path):
     (tmp_path / "big.py").write_text("\n".join(f"A{i} = {i}" for i in range(300)) + "\n")
     cfg = config.from_document({"profiles": {"anchored": {"capacity": {"file": 250}}}})
