@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import jaccard, packing, quality, suffix
-from keelson.session import fresh_folder
+from keelson.session import cut, fresh_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,10 +21,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8 or more) the least doc_id stays."""
-    groups = jaccard.jaccard_components(docs, n=5, percent=80)
-    stays = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    return docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi")
+    """Of each group of near duplicates (five-word shingles, 0.8 or more) one row stays.
+
+    It is the one with the least doc_id, null last, then the least digest of the text; of rows equal in both, the
+    least by the other columns. Rows without a word all stay.
+    """
+    stays = cut(jaccard.one_per_component(docs, n=5, percent=80))
+    rows = docs.select(*COLUMNS).withColumn("t", jaccard.digest())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")) & (F.col("t") == F.col("stay_t"))
+    once = rows.join(stays.filter("not repeated"), same, "left_semi").select(*COLUMNS)
+    # Equal rows meet as one row per task, and only those that do repeat are shuffled for it.
+    again = rows.join(stays.filter("repeated"), same, "left_semi").groupBy("doc_id", "t").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return once.unionByName(again.select("row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

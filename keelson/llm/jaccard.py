@@ -133,15 +133,20 @@ def _node(x: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes(), seed=len(x))).astype(np.int64)) if len(x) else None
 
 
+def digest() -> F.Column:
+    """16 bytes that stand for a text; null and empty texts are one."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node."""
+    """doc_id, t (the text's digest), n_shingles, node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [shingles(t, n) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in x], pa.int64()), pa.array([_node(v) for v in x], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(v) for v in x], pa.int64()), pa.array([_node(v) for v in x], pa.int64())], names=["doc_id", "t", "n_shingles", "node"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", "text", digest().alias("t")).mapInArrow(run, "doc_id long, t binary, n_shingles long, node long")
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -301,8 +306,8 @@ def _groups(signed: DataFrame) -> DataFrame:
     return every.distinct()
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows (see _sets), and (vertex, component) of the linked nodes."""
     spark = ship(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Rows without an id get a key from their text; keys only bring candidates together.
@@ -317,13 +322,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     deals = paired.groupBy(F.col("doc").alias("key")).agg(F.collect_list("g").alias("deals"))
     members = _members(keyed.join(deals, "key").select("key", "text", "deals"), n)
     together = members.repartition(partitions(spark), "pivot", "a", "b").sortWithinPartitions("pivot", "a", "b", "later", "node").select("pivot", "a", "b", "node", "side", "x")
-    comps = connected_components(_links(together, percent))
+    return sets, connected_components(_links(together, percent))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    sets, comps = _components(docs, n, percent)
     ids = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, F.col("node") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = ids.join(least, "component").select("node", "component_id")
     return sets.select("doc_id", "n_shingles", "node").join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_per_component(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(stay_id, stay_t, repeated): doc_id and digest of the row that stays of each component.
+
+    It is the one with the least (doc_id, digest), null ids last; ``repeated`` says that several rows are equal in
+    both. Rows without shingles all stay, and are never marked as repeated.
+    """
+    sets, comps = _components(docs, n, percent)
+    rows = sets.filter("node is not null").groupBy("node", "doc_id", "t").agg(F.count("*").alias("c"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "c")
+    # Least by node first, so that equal texts do not meet in the join.
+    best = rows.groupBy("node").agg(F.min(place).alias("best")).join(comps, F.col("node") == F.col("vertex"), "left")
+    best = best.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("best").alias("best"))
+    blank = sets.filter("node is null").select("doc_id", "t", F.lit(False)).distinct()
+    return best.select(F.col("best.doc_id").alias("stay_id"), F.col("best.t").alias("stay_t"), (F.col("best.c") > 1).alias("repeated")).union(blank)
+
+
 def _sizes(sets: DataFrame, named: DataFrame) -> DataFrame:
     """(doc, s): shingles of each key; keys of rows without an id count as one block's worth of members only."""
     known = sets.filter("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n_shingles").alias("s"))

@@ -1,6 +1,9 @@
+import random
+from collections import Counter
+
 import duckdb
 import pytest
-from helpers import corpus
+from helpers import corpus, sentence
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -36,6 +39,20 @@ def test_stages_in_turn(spark, tmp_path):
         assert [v for p in own for v in p.ids] == [*t.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_repeated_rows_and_null_ids_keep_one_row(spark, tmp_path):
+    rng = random.Random(5)
+    clean, bare, near, shared, other = (" ".join(sentence(rng) for _ in range(14)) for _ in range(5))
+    # A repeated row, a text of null ids alone, a null-id near copy of a kept document, and one id with two texts.
+    texts = [(1, clean), (1, clean), (1, clean), (None, bare), (None, bare), (2, near), (None, near + " One more word."), (3, shared), (3, other), (None, None), (4, "")]
+    docs = tables(spark, tmp_path, [(i, t, "en", "s", len(t) if t else None) for i, t in texts])
+    single = corpus_pipeline.keep_one_of_each(spark, docs, str(tmp_path))
+    want = [(1, clean), (None, bare), (2, near), (3, shared), (3, other), (None, None), (4, "")]
+    assert Counter((r.doc_id, r.text) for r in single.collect()) == Counter(want)
+    assert single.columns == docs.columns and {r.n_chars for r in single.filter("doc_id = 1").collect()} == {len(clean)}
+    left = corpus_pipeline.cut_repeats(spark, single, str(tmp_path)).collect()
+    assert Counter(r.text for r in left if r.text) == Counter([clean, bare, near, shared, other])
+
+
 def test_empty_documents(spark, tmp_path):
     tables(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
