@@ -6,11 +6,11 @@ A sentence ends after . ! or ? before white space, or at a line end; white space
 between its words and the case of A-Z do not count. Spans of fewer than ``min_words`` words
 are grown by further sentences until they have them, so short stock phrases are not taken
 for passages; a sentence of ``ALONE`` words or more also is a span by itself, so that a passage of
-a few long sentences, cut at both ends, is found too. First is the occurrence with the smallest (doc_id, position).
+a few long sentences, cut at both ends, is found too. First is the occurrence with the smallest (doc_id, digest of the text, position).
 
 Cases. Null or empty text: no sentences, nothing removed, text kept as it is. Fewer sentences than a run, none of them long: kept. Null
-doc_id: comes before all others. Rows with the same doc_id and text are one document and are both kept or
-cut alike. Ties cannot arise. Empty table: no rows. Only doc_id and text are read.
+doc_id: comes before all others. A document is a doc_id (or none) and the 64-bit digest of a text: rows equal in
+both are one and are both kept or cut alike, rows that share only an id are apart. Ties cannot arise. Empty table: no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -89,37 +89,42 @@ def _id() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
 
+def _digest() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def repeated_sentences(docs: DataFrame, run_length: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc (null as the least long), and the sorted positions of its sentences in non-first repeated spans."""
+    """doc (null as the least long), digest of the text, and the sorted positions of its sentences in non-first repeated spans."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, high, low, first, size = [], [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            ids, own, high, low, first, size = [], [], [], [], [], []
+            for d, g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                 for h, k, i, n in spans(t, run_length, min_words)[1] if t else ():
                     ids.append(d)
+                    own.append(g)
                     high.append(h)
                     low.append(k)
                     first.append(i)
                     size.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32())], names=["doc", "h1", "h2", "first", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32())], names=["doc", "digest", "h1", "h2", "first", "size"])
 
-    found = docs.select(_id().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, h1 long, h2 long, first int, size int")
+    found = docs.select(_id().alias("doc"), _digest().alias("digest"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, digest long, h1 long, h2 long, first int, size int")
     # Partial counts and minima leave each task as one row per hash, however often it occurs there.
-    place = F.struct("doc", "first")
+    place = F.struct("doc", "digest", "first")
     # It is cut off, so that the join shuffles both its sides and a hot hash can be split among tasks.
     repeated = cut(found.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least < most").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "least"))
-    later = found.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).filter(F.struct("doc", "first") > F.col("least"))
-    gone = later.select("doc", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("at"))
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("removed"))
+    later = found.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).filter(place > F.col("least"))
+    gone = later.select("doc", "digest", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("at"))
+    return gone.groupBy("doc", "digest").agg(F.array_sort(F.collect_set("at")).alias("removed"))
 
 
 def drop_repeated_spans(docs: DataFrame, run_length: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_sentences, n_removed, words_removed, removed (positions), and the cut text."""
     gone = repeated_sentences(docs, run_length, min_words)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = named.join(gone, _id() == F.col("doc"), "left").select("doc_id", "text", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    joined = named.join(gone, (_id() == F.col("doc")) & (_digest() == F.col("digest")), "left").select("doc_id", "text", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -66,6 +66,16 @@ def test_sentence_spans_oddities(spark):
     assert sentence_spans.drop_repeated_spans(frame(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_are_apart(spark):
+    rng = random.Random(6)
+    passage, *own = [". ".join(" ".join(f"p{rng.randrange(9999)}" for _ in range(14)) for _ in range(3)) + "." for _ in range(5)]
+    texts = [(None, f"{passage} {own[0]}"), (None, f"{passage} {own[1]}"), (None, f"{own[2]} {own[3]}"), (7, f"{own[2]} {passage}"), (7, f"{own[3]} {own[1]}")]
+    got = sentence_spans.drop_repeated_spans(frame(spark, [(i, t, *[None] * 7) for i, t in texts])).collect()
+    left = " ".join(r.text for r in got)
+    assert [left.count(x) for x in (passage, *own)] == [1] * 5
+    assert len(got) == 5 and sum(r.n_removed for r in got) == 15
+
+
 # --- Jaccard join --------------------------------------------------------------------------------
 
 
