@@ -12,6 +12,7 @@ carved. Truncated media: not confirmed. Equal blobs give equal rows. Only the na
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -126,20 +127,133 @@ def _bmp(b: memoryview, at: int) -> int | None:
     return size if data + rows <= size <= len(b) - at else None
 
 
+_PDF_END = re.compile(rb"startxref[ \t\r\n]+(\d{1,12})[ \t\r\n]+%%EOF")
+_PDF_TABLE = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
+
+
 def _pdf(b: memoryview, at: int) -> int | None:
-    tail = bytes(b[at:]).rfind(b"%%EOF")
-    return tail + 5 if tail > 0 and b"startxref" in bytes(b[max(at, at + tail - 64) : at + tail]) else None
+    """To the first end whose startxref names a table of this file, and on over updates, whose tables follow the end before."""
+    raw, end = bytes(b[at:]), 0
+    for m in _PDF_END.finditer(raw):
+        table = int(m[1])
+        if max(end, 1) <= table < m.start() and _PDF_TABLE.match(raw, table):
+            end = m.end()
+    return end or None
+
+
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x >> bits - 1 else 0)) & (1 << bits) - 1
+        out.append(x)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+_FLAC_DEPTH = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
+
+
+def _flac_head(b: memoryview, i: int, depth: int) -> tuple[int, int, int, int] | None:
+    """Of the frame at i: bytes of its header, samples, channel code and bits of a sample."""
+    h = bytes(b[i : i + 16])
+    if len(h) < 6 or h[0] != 0xFF or h[1] >> 1 != 0x7C or h[3] & 1:
+        return None
+    size, rate, channels, bits = h[2] >> 4, h[2] & 15, h[3] >> 4, h[3] >> 1 & 7
+    more = 0 if h[4] < 0x80 else 8 - (h[4] ^ 0xFF).bit_length()
+    j = 5 + max(0, more - 1)
+    if not size or rate == 15 or channels > 10 or bits == 3 or more in (1, 8) or any(x >> 6 != 2 for x in h[5:j]):
+        return None
+    wide = {6: 1, 7: 2}.get(size, 0)
+    samples = int.from_bytes(h[j : j + wide], "big") + 1 if wide else 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    j += wide + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for x in h[:j]:
+        crc = _CRC8[crc ^ x]
+    return (j + 1, samples, channels, _FLAC_DEPTH.get(bits, depth)) if j < len(h) and crc == h[j] else None
+
+
+def _flac_subframe(s: str, p: int, samples: int, depth: int) -> int | None:
+    """Where the subframe at bit p ends; ValueError or IndexError where the bits do not reach."""
+    kind, p, wasted = int(s[p : p + 8], 2), p + 8, 0
+    if kind & 1:
+        q = s.index("1", p)
+        wasted, p = q - p + 1, q + 1
+    kind, depth = kind >> 1, depth - wasted
+    if kind > 63 or depth < 1:
+        return None
+    if kind < 2:
+        return p + depth * (samples if kind else 1)
+    order = kind - 8 if 8 <= kind <= 12 else kind - 31 if kind >= 32 else -1
+    if not 0 <= order <= samples:
+        return None
+    p += order * depth
+    if kind >= 32:
+        p += 9 + order * (int(s[p : p + 4], 2) + 1)
+    way, parts = int(s[p : p + 2], 2), int(s[p + 2 : p + 6], 2)
+    p += 6
+    if way > 1 or samples >> parts << parts != samples or samples >> parts < order:
+        return None
+    wide = 5 if way else 4
+    for k in range(1 << parts):
+        n, rice = (samples >> parts) - (0 if k else order), int(s[p : p + wide], 2)
+        p += wide
+        if rice == (1 << wide) - 1:
+            p += 5 + n * int(s[p : p + 5], 2)
+            continue
+        for _ in range(n):
+            p = s.index("1", p) + 1 + rice
+    return p
+
+
+def _flac_frame(b: memoryview, i: int, depth: int) -> tuple[int, int] | None:
+    """End of the frame at i and its samples, or nothing where its header, subframes or checksums are wrong."""
+    head = _flac_head(b, i, depth)
+    if head is None:
+        return None
+    skip, samples, channels, depth = head
+    n = channels + 1 if channels < 8 else 2
+    reach = samples * n * (depth + 1) // 8 + 64
+    while True:
+        part = bytes(b[i + skip : i + skip + reach])
+        s, p = format(int.from_bytes(part, "big"), f"0{8 * len(part)}b") if part else "", 0
+        try:
+            for c in range(n):
+                side = channels in (8, 10) and c == 1 or channels == 9 and c == 0
+                p = _flac_subframe(s, p, samples, depth + side)
+                if p is None:
+                    return None
+        except (ValueError, IndexError):
+            p = len(s) + 1
+        end = i + skip + (p + 7) // 8 + 2
+        if p <= len(s) and end <= len(b):
+            crc = 0
+            for x in b[i : end - 2]:
+                crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ x]
+            return (end, samples) if crc == int.from_bytes(b[end - 2 : end], "big") else None
+        if len(part) < reach or p <= len(s):
+            return None
+        reach *= 2
 
 
 def _flac(b: memoryview, at: int) -> int | None:
+    """Metadata, then frames up to the number of samples announced, or as long as they are right where none is."""
     i, n, first = at + 4, len(b), True
+    depth = total = 0
     while i + 4 <= n:
         last, kind, size = b[i] >> 7, b[i] & 127, int.from_bytes(b[i + 1 : i + 4], "big")
         if first and (kind or size != 34) or i + 4 + size > n:
             return None
+        if first:
+            info = int.from_bytes(b[i + 14 : i + 22], "big")
+            depth, total = (info >> 36 & 31) + 1, info & (1 << 36) - 1
         first, i = False, i + 4 + size
         if last:
-            return n - at if i + 2 <= n and b[i] == 0xFF and b[i + 1] >> 1 == 0x7C else None
+            done = 0
+            while (not total or done < total) and (frame := _flac_frame(b, i, depth)):
+                i, done = frame[0], done + frame[1]
+            return i - at if done and done >= total else None
     return None
 
 

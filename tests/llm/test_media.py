@@ -54,6 +54,48 @@ def test_broken_media_are_not_confirmed():
     assert media.sniff(bytes(bad)) == (media.UNKNOWN, [])
 
 
+def crc(data, poly, bits):
+    x = 0
+    for byte in data:
+        x ^= byte << bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x >> bits - 1 else 0)) & (1 << bits) - 1
+    return x.to_bytes(bits // 8, "big")
+
+
+def flac(total, frames=2):
+    """Mono, 8 bits, 16 samples a frame: constant, verbatim, and fixed of order 1 with Rice codes in turn."""
+    info = struct.pack(">HH", 16, 16) + bytes(6) + (8000 << 44 | 7 << 36 | total).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\x80" + (34).to_bytes(3, "big") + info
+    for k in range(frames):
+        head = bytes([0xFF, 0xF8, 0x60, 0x02, k, 15])
+        rice = "0" + "001001" + "0" + f"{7:08b}" + "00" + "0000" + "0001" + "".join("0" * (j % 3) + "1" + str(j % 2) for j in range(15))
+        bits = ["0" + "000000" + "0" + f"{9:08b}", "0" + "000001" + "0" + "".join(f"{200 + j:08b}" for j in range(16)), rice][k % 3]
+        bits += "0" * (-len(bits) % 8)
+        frame = head + crc(head, 0x07, 8) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+        out += frame + crc(frame, 0x8005, 16)
+    return out
+
+
+def test_flac_ends_at_its_last_frame():
+    for total, frames in ((48, 3), (0, 3), (40, 3), (32, 2)):
+        f = flac(total, frames)
+        assert media.sniff(f) == ("audio/flac", [("audio/flac", 0, len(f))])
+        assert media.sniff(f + png()) == (media.UNKNOWN, [("audio/flac", 0, len(f)), ("image/png", len(f), len(png()))])
+    assert media.sniff(flac(48, 3)[:-1])[1] == media.sniff(flac(64, 3))[1] == []
+    bad = bytearray(flac(48, 3))
+    bad[-5] ^= 1
+    assert media.sniff(bytes(bad))[1] == []
+
+
+def test_pdf_ends_at_its_own_end():
+    n, m = len(PDF), len(png())
+    assert media.sniff(PDF + png() + PDF) == (media.UNKNOWN, [("application/pdf", 0, n), ("image/png", n, m), ("application/pdf", n + m, n)])
+    update = b"\n1 0 obj\nendobj\nstartxref\n%d\n%%%%EOF" % (n + 1)
+    assert media.sniff(PDF + update) == ("application/pdf", [("application/pdf", 0, n + len(update))])
+    assert media.sniff(PDF.replace(b"9", b"9999"))[1] == []
+
+
 def test_operator_corrects_and_carves(spark):
     both = b"xx" + png() + gif()
     rows = [(1, png(), "image/gif"), (2, both, None), (3, None, "image/png"), (4, b"", "image/png")]
