@@ -3,10 +3,10 @@ one hash meet in a global join, and each sentence that lies in a span other than
 occurrence is removed.
 
 A sentence ends after . ! or ? before white space, or at a line end; white space around and
-between its words and the case of A-Z do not count. Spans of fewer than ``min_words`` words
-are grown by further sentences until they have them, so short stock phrases are not taken
-for passages; a sentence of ``ALONE`` words or more also is a span by itself, so that a passage of
-a few long sentences, cut at both ends, is found too. First is the occurrence with the smallest (doc_id, digest of the text, position).
+between its words and the case of A-Z do not count. A sentence of ``min_words`` words or more also is a span by
+itself, so that a passage cut at both ends is found too; runs of such sentences alone are not hashed, as
+their sentences cover them: where a run repeats, each of them does, and no earlier than in the run. For the same reason
+no longer runs are hashed. Short stock phrases go only where a whole run of them repeats. First is the occurrence with the smallest (doc_id, digest of the text, position).
 
 Cases. Null or empty text: no sentences, nothing removed, text kept as it is. Fewer sentences than a run, none of them long: kept. Null
 doc_id: comes before all others. A document is a doc_id (or none) and the 64-bit digest of a text: rows equal in
@@ -28,7 +28,7 @@ from keelson.session import cut, ship
 
 RUN = 2
 MIN_WORDS = 12
-ALONE = 24  # a sentence of so many words is a span by itself
+ALONE = MIN_WORDS  # a sentence of so many words is a span by itself
 _ENDS = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
 
 
@@ -44,8 +44,8 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out if text[a:z].strip()]
 
 
-def spans(text: bytes, run_length: int = RUN, min_words: int = MIN_WORDS, alone: int = ALONE) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """Number of sentences, and (hash high, hash low, first sentence, sentences) of every run."""
+def spans(text: bytes, run_length: int = RUN, alone: int = ALONE) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Number of sentences, and (hash high, hash low, first sentence, sentences) of every long sentence and every other run."""
     words = [text[a:z].lower().split() for a, z in sentences(text)]
     n = len(words)
     joined, sizes = [b" ".join(w) for w in words], [len(w) for w in words]
@@ -58,12 +58,8 @@ def spans(text: bytes, run_length: int = RUN, min_words: int = MIN_WORDS, alone:
     for i in range(n):
         if sizes[i] >= alone:
             add(i, i + 1)
-        j, count = i + run_length, sum(sizes[i : i + run_length])
-        while count < min_words and j < n:
-            count += sizes[j]
-            j += 1
-        if j <= n and count >= min_words:
-            add(i, j)
+        if i + run_length <= n and min(sizes[i : i + run_length]) < alone:
+            add(i, i + run_length)
     return n, out
 
 

@@ -76,6 +76,21 @@ def test_rows_that_share_an_id_are_apart(spark):
     assert len(got) == 5 and sum(r.n_removed for r in got) == 15
 
 
+def test_short_runs_tails_and_spliced_sentences_are_found(spark):
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"p{rng.randrange(99999)}" for _ in range(n))
+    tail = [some(n) + "." for n in (12, 4, 5)]
+    short = [some(n) + "." for n in (3, 4)]
+    spliced = [some(n) for n in (20, 17, 18)]
+    texts = []
+    for _ in range(2):
+        texts.append(" ".join([*tail, some(9) + ".", some(9) + "."]))
+        texts.append(" ".join([*short, some(9) + ".", some(9) + "."]))
+        texts.append(f"{some(8)} {spliced[0]}. {spliced[1]}. {spliced[2]} {some(8)}.")
+    got = {r.doc_id: r.removed for r in sentence_spans.drop_repeated_spans(frame(spark, [(i, t, *[None] * 7) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(6)] == [[], [], [], [0, 1, 2], [0, 1], [1]]
+
+
 # --- Jaccard join --------------------------------------------------------------------------------
 
 
