@@ -191,9 +191,9 @@ def slow_removed(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("length", "gram", "hot"), [(400, 64, 4000), (60, 8, 4000), (40, 8, 1)])
+@pytest.mark.parametrize(("length", "gram", "hot"), [(400, 64, 4000), (60, 8, 4000), (40, 8, 1), (40, 8, 0)])
 def test_removed_bytes_match_brute_force(spark, monkeypatch, length, gram, hot):
-    monkeypatch.setattr(suffix.repeated_ranges, "__defaults__", (suffix.LENGTH, suffix.GRAM, hot))
+    monkeypatch.setattr(suffix.repeated_ranges, "__defaults__", (suffix.LENGTH, None, suffix.GRAM, hot))
     monkeypatch.setattr(suffix, "SLOT", 8)
     rows = with_oddities(corpus(n=80))
     got = suffix.drop_repeats(frame(spark, rows), length, gram).collect()
@@ -201,6 +201,41 @@ def test_removed_bytes_match_brute_force(spark, monkeypatch, length, gram, hot):
     assert have == slow_removed(rows, length)
 
 
+def slow_later(rows, length):
+    """Per row: the bytes in strings that come at an earlier (doc_id, null last, digest, position)."""
+    none = (1 << 63) - 1
+    keyed = [((none if i is None else i, hashlib.md5((t or "").encode()).digest()), (t or "").encode()) for i, t, *_ in rows]
+    first = {}
+    for key, x in keyed:
+        for k in range(len(x) - length + 1):
+            w = x[k : k + length]
+            first[w] = min(first.get(w, (key, k)), (key, k))
+    out = []
+    for key, x in keyed:
+        gone = bytearray(len(x))
+        for k in range(len(x) - length + 1):
+            if first[x[k : k + length]] != (key, k):
+                gone[k : k + length] = b"\1" * length
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize(("length", "once", "gram", "hot"), [(400, 200, 64, 4000), (90, 40, 8, 4000), (90, 40, 8, 1), (60, 40, 8, 0)])
+def test_first_copies_stay_beside_the_longer_length(spark, monkeypatch, length, once, gram, hot):
+    monkeypatch.setattr(suffix.repeated_ranges, "__defaults__", (suffix.LENGTH, None, suffix.GRAM, hot))
+    monkeypatch.setattr(suffix, "SLOT", 8)
+    rows = with_oddities(corpus(n=80, seed=4))
+    got = suffix.drop_repeats(frame(spark, rows), length, gram, once).collect()
+    have = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got)
+    assert have == slow_removed(rows, length)
+    gone = slow_later(rows, once)
+    plain = lambda i, *x: (-1 if i is None else i, *x)
+    want = sorted(plain(r[0], len((r[1] or "").encode()), sum(g)) for r, g in zip(rows, gone))
+    assert sorted(plain(r.doc_id, r.n_bytes, r.n_later) for r in got) == want and any(sum(g) for g in gone)
+    left = sorted(plain(r[0], bytes(b for b, g in zip((r[1] or "").encode(), x) if not g).decode("utf-8", "ignore")) for r, x in zip(rows, gone))
+    assert sorted(plain(r.doc_id, r.text) for r in suffix.cut_text(frame(spark, rows), once, gram).collect()) == left
+
+
 def test_runs_of_one_byte_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK", 512)
     rng = random.Random(8)
@@ -210,5 +245,5 @@ def test_runs_of_one_byte_and_chunks(spark, monkeypatch):
     have = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got)
     assert have == slow_removed(rows, 400)
     assert suffix.drop_repeats(frame(spark, [])).count() == 0
-    cut = {r.doc_id: r for r in suffix.cut_text(frame(spark, rows)).collect()}
-    assert cut[2].text == "x" and cut[2].n_chars == 1 and cut[1].text == ""
+    cut = {r.doc_id: r for r in suffix.cut_text(frame(spark, rows), 400).collect()}
+    assert cut[2].text == rows[1][1] and not cut[2].was_cut and cut[3].text == "y" + own[1200:] and cut[3].n_chars == 1801
