@@ -10,22 +10,22 @@ _PER = "case when {b} > 0 then 1000 * {a} // {b} else 0 end"
 _SCORES = {k: _PER.format(a=a, b=b) for k, a, b in zip(quality.RULES, ("n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals"), ("word_chars", "n_lines", "n_words", "word_chars"))}
 
 OP1 = f"""
-with d as (select doc_id, coalesce(lang, '') stratum, coalesce(text, '') as t from documents),
+with d as (select doc_id, coalesce(lang, '') grp, coalesce(text, '') as t from documents),
 w as (select doc_id, list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '') ws from d),
 l as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[ \\t-\\r]+', '', 'g') <> '') ls from d),
 p as (select doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] k from (select doc_id, ws, unnest(range(1, len(ws) - 1)) i from w where len(ws) >= 3)),
 r as (select doc_id, count(distinct i + s) n from (select doc_id, i, count(*) over (partition by doc_id, k) c from p) q, (values (0), (1), (2)) v(s) where c >= 2 group by 1),
-f as (select d.doc_id, stratum, len(ws)::bigint n_words, length(regexp_replace(t, '[ \\t-\\r]+', '', 'g'))::bigint word_chars, (length(t) - length(regexp_replace(t, '{_SYMBOLS}', '', 'g')))::bigint n_symbols,
+f as (select d.doc_id, grp, len(ws)::bigint n_words, length(regexp_replace(t, '[ \\t-\\r]+', '', 'g'))::bigint word_chars, (length(t) - length(regexp_replace(t, '{_SYMBOLS}', '', 'g')))::bigint n_symbols,
   (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words, len(ls)::bigint n_lines, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::bigint n_capitals
   from d join w using (doc_id) join l using (doc_id) left join r using (doc_id)),
 b as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words base_failed, {', '.join(f'{s} s_{k}' for k, s in _SCORES.items())} from f),
 good as (select b.* from b join (select doc_id from labels group by 1 having min(coalesce(quality, 0)) >= 1) using (doc_id) where not base_failed),
-m as (select count(distinct stratum) strata from good),
-g as ({' union all '.join(f"select stratum, '{k}' as rule, s_{k} s from good" for k in quality.RULES)}),
-x as (select stratum, rule, j, c, count(*) n, count(*) filter (where s > c) x from g, (select unnest([{_GRID}]) c, unnest(range(1, {len(quality.CUTOFFS) + 1})) j) group by 1, 2, 3, 4),
-y as (select *, x <= n * {quality.LIMIT / len(quality.RULES)!r} and (x >= n or list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - case when k = 0 then 0 else lgamma(k + 1) end - case when n = k then 0 else lgamma(n - k + 1) end + k * ln({quality.LIMIT / len(quality.RULES)!r}) + (n - k) * ln(1 - {quality.LIMIT / len(quality.RULES)!r})))) <= {quality.ERROR} / greatest(1, m.strata * {len(quality.RULES)})) as passed from x, m),
-z as (select stratum, rule, min(c) filter (where passed and run) cutoff from (select *, bool_and(passed) over (partition by stratum, rule order by j) run from y) group by 1, 2)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(({' or '.join(f"coalesce(s_{k} > (select cutoff from z where z.stratum = b.stratum and rule = '{k}'), false)" for k in quality.RULES)}), false) kept from b
+m as (select count(distinct grp) groups from good),
+g as ({' union all '.join(f"select grp, '{k}' as rule, s_{k} s from good" for k in quality.RULES)}),
+x as (select grp, rule, j, c, count(*) n, count(*) filter (where s > c) x from g, (select unnest([{_GRID}]) c, unnest(range(1, {len(quality.CUTOFFS) + 1})) j) group by 1, 2, 3, 4),
+y as (select *, x <= n * {quality.LIMIT / len(quality.RULES)!r} and (x >= n or list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - case when k = 0 then 0 else lgamma(k + 1) end - case when n = k then 0 else lgamma(n - k + 1) end + k * ln({quality.LIMIT / len(quality.RULES)!r}) + (n - k) * ln(1 - {quality.LIMIT / len(quality.RULES)!r})))) <= {quality.ERROR} / greatest(1, m.groups * {len(quality.RULES)})) as passed from x, m),
+z as (select grp, rule, min(c) filter (where passed and run) cutoff from (select *, bool_and(passed) over (partition by grp, rule order by j) run from y) group by 1, 2)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(({' or '.join(f"coalesce(s_{k} > (select cutoff from z where z.grp = b.grp and rule = '{k}'), false)" for k in quality.RULES)}), false) kept from b
 """
 
 _CANON = """regexp_replace(lower(regexp_extract({u}, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract({u}, '^[A-Za-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_replace(regexp_extract({u}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/{{2,}}', '/', 'g'), '/+$', '')

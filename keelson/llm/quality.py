@@ -1,17 +1,17 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule scores a document from 0 to 1000, higher being worse, and rejects scores above a
-cutoff. Labelled good documents that the base rule keeps are the holdout. In each stratum and
+cutoff. Labelled good documents that the base rule keeps are the holdout. In each group and
 for each rule the cutoffs are tried in one fixed order, from the loosest to the tightest; a
 cutoff is certified when the exact binomial tail P(Bin(n, share) <= rejected) is at most the
 error level, which is the same as the one-sided Clopper-Pearson bound on its false-rejection
 rate lying below ``share``. Trying stops at the first failure (fixed-sequence testing needs no
-further correction); over strata and rules the level is divided (Bonferroni), and a stratum's
-false-rejection limit is divided over its rules. So with confidence 1 - error no stratum loses
-more than ``limit`` of its good documents. Strata with too few labels certify no cutoff and
+further correction); over groups and rules the level is divided (Bonferroni), and a group's
+false-rejection limit is divided over its rules. So with confidence 1 - error no group loses
+more than ``limit`` of its good documents. Groups with too few labels certify no cutoff and
 reject nothing beyond the base rule.
 
-Cases. Null or empty text: no words, base_failed. Null stratum: the stratum ''. Repeated rows:
+Cases. Null or empty text: no words, base_failed. Null group: the group ''. Repeated rows:
 judged one by one. Several labels for one id: good only if all say so. No labels: base rule only.
 Other columns of the input are ignored, so their names cannot clash.
 """
@@ -35,7 +35,7 @@ RULES = ("symbols", "dup_lines", "repeats", "capitals")
 CUTOFFS = (900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20, 15, 10, 5)
 LIMIT = 0.02
 ERROR = 0.05
-MOST_STRATA_SENT = 10_000
+MOST_GROUPS_SENT = 10_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 _CAPITALS = bytes(range(65, 91))
 _SYMBOLS = SYMBOLS.encode()
@@ -110,11 +110,18 @@ def scores() -> dict[str, F.Column]:
 
 
 def binomial_tail(n: int, x: int, share: float) -> float:
-    """P(Bin(n, share) <= x), summed in logs."""
+    """P(Bin(n, share) <= x), summed downward from x or, beyond the mean, upward from it: terms shrink and the rest is too small to count."""
     if n == 0 or x >= n:
         return 1.0
-    p, q = math.log(share), math.log1p(-share)
-    return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * p + (n - k) * q) for k in range(x + 1)))
+    above = x >= n * share
+    k = x + 1 if above else x
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share))
+    total, odds = 0.0, share / (1 - share)
+    while term > total * 1e-17:
+        total += term
+        term *= odds * (n - k) / (k + 1) if above else k / odds / (n - k + 1)
+        k += 1 if above else -1
+    return min(1.0, 1.0 - total if above else total)
 
 
 def certify(n: int, rejected: list[int], share: float, level: float) -> int | None:
@@ -128,20 +135,20 @@ def certify(n: int, rejected: list[int], share: float, level: float) -> int | No
 
 
 def cutoffs(good: DataFrame, limit: float = LIMIT, error: float = ERROR) -> tuple[DataFrame, int]:
-    """(stratum, one cutoff column per rule) from the good holdout with COUNTS, and the number of strata.
+    """(grp, one cutoff column per rule) from the good holdout with COUNTS, and the number of groups.
 
-    Only counts by stratum, rule and cutoff leave the executors' map side.
+    Only counts by group, rule and cutoff leave the executors' map side.
     """
     rule = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), s.alias("score")) for k, s in scores().items()]))
     falls = F.aggregate(F.array(*[F.lit(c) for c in CUTOFFS]), F.lit(0), lambda a, c: a + F.when(F.col("r.score") <= c, 1).otherwise(0))
-    hist = cut(good.select("stratum", rule.alias("r")).groupBy("stratum", F.col("r.rule").alias("rule"), falls.alias("first")).agg(F.count("*").alias("n")))
-    strata = hist.select("stratum").distinct().count()
-    share, level = limit / len(RULES), error / max(1, strata * len(RULES))
+    hist = cut(good.select("grp", rule.alias("r")).groupBy("grp", F.col("r.rule").alias("rule"), falls.alias("first")).agg(F.count("*").alias("n")))
+    groups = hist.select("grp").distinct().count()
+    share, level = limit / len(RULES), error / max(1, groups * len(RULES))
 
     def one(pdf):
         import pandas as pd
 
-        out = {"stratum": pdf["stratum"].iloc[0]}
+        out = {"grp": pdf["grp"].iloc[0]}
         for k in RULES:
             g = pdf[pdf["rule"] == k]
             by = np.zeros(len(CUTOFFS) + 1, dtype=np.int64)
@@ -149,7 +156,7 @@ def cutoffs(good: DataFrame, limit: float = LIMIT, error: float = ERROR) -> tupl
             out[k] = certify(int(by.sum()), np.cumsum(by)[:-1].tolist(), share, level)
         return pd.DataFrame([out]).astype({k: "Int64" for k in RULES})
 
-    return hist.groupBy("stratum").applyInPandas(one, "stratum string, " + ", ".join(f"{k} long" for k in RULES)), strata
+    return hist.groupBy("grp").applyInPandas(one, "grp string, " + ", ".join(f"{k} long" for k in RULES)), groups
 
 
 def good_holdout(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -157,32 +164,32 @@ def good_holdout(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id")
     return counted.filter(~base_failed()).join(good, F.col(id_col) == F.col("__id"), "left_semi")
 
 
-def judge(counted: DataFrame, bounds: DataFrame, strata: int) -> DataFrame:
-    """counted (with stratum) plus base_failed, rejected_by and kept."""
-    small = bounds.select(F.col("stratum").alias("__s"), *[F.col(k).alias(f"__{k}") for k in RULES])
-    if strata <= MOST_STRATA_SENT:
+def judge(counted: DataFrame, bounds: DataFrame, n_groups: int) -> DataFrame:
+    """counted (with grp) plus base_failed, rejected_by and kept."""
+    small = bounds.select(F.col("grp").alias("__s"), *[F.col(k).alias(f"__{k}") for k in RULES])
+    if n_groups <= MOST_GROUPS_SENT:
         small = F.broadcast(small)
     hit = [F.when(s > F.col(f"__{k}"), F.lit(k)) for k, s in scores().items()]
-    got = counted.join(small, F.col("stratum") == F.col("__s"), "left")
+    got = counted.join(small, F.col("grp") == F.col("__s"), "left")
     got = got.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.concat_ws(",", *hit))
     return got.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == "")).drop("__s", *[f"__{k}" for k in RULES])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = LIMIT, error: float = ERROR) -> DataFrame:
-    """doc_id, stratum, COUNTS, base_failed, rejected_by, kept: a row for each row of ``docs``."""
-    named = docs.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "text")
-    counted = cut(count_words(named, ["doc_id", "stratum"]))
+def quality_rules(docs: DataFrame, labels: DataFrame, group_by: str = "lang", limit: float = LIMIT, error: float = ERROR) -> DataFrame:
+    """doc_id, grp, COUNTS, base_failed, rejected_by, kept: a row for each row of ``docs``."""
+    named = docs.select("doc_id", F.coalesce(F.col(group_by), F.lit("")).alias("grp"), "text")
+    counted = cut(count_words(named, ["doc_id", "grp"]))
     return judge(counted, *cutoffs(good_holdout(counted, labels), limit, error))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+def drop_rejected(docs: DataFrame, labels: DataFrame, group_by: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged.
 
     Texts do not travel: they are counted once for the cutoffs and once, row by row, for the verdict.
     """
-    named = docs.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "text")
-    bounds, strata = cutoffs(good_holdout(count_words(named, ["doc_id", "stratum"]), labels))
+    named = docs.select("doc_id", F.coalesce(F.col(group_by), F.lit("")).alias("grp"), "text")
+    bounds, groups = cutoffs(good_holdout(count_words(named, ["doc_id", "grp"]), labels))
     bounds = cut(bounds)
     columns = docs.columns
-    whole = docs.select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("text").alias("__t"))
-    return judge(count_words(whole, ["stratum", "__row"], "__t"), bounds, strata).filter("kept").select("__row.*")
+    whole = docs.select(F.coalesce(F.col(group_by), F.lit("")).alias("grp"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("text").alias("__t"))
+    return judge(count_words(whole, ["grp", "__row"], "__t"), bounds, groups).filter("kept").select("__row.*")
