@@ -300,7 +300,7 @@ def _groups(signed: DataFrame) -> DataFrame:
     """
     least = F.min("doc").over(Window.partitionBy("sign"))
     pairs = cut(signed.select(least.alias("pivot"), "doc").filter("pivot <> doc").distinct())
-    above = pairs.groupBy(F.col("doc").alias("pivot")).agg(F.min("pivot").alias("top"))
+    above = cut(pairs.groupBy(F.col("doc").alias("pivot")).agg(F.min("pivot").alias("top")))
     given = pairs.join(above, "pivot", "left").withColumn("top", F.coalesce("top", "pivot"))
     every = given.select(F.col("top").alias("pivot"), F.explode(F.array("top", "pivot", "doc")).alias("doc"))
     return every.distinct()
@@ -315,7 +315,8 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     sets = cut(_sets(named, n))
     groups = cut(_groups(_signed(keyed, n, percent)))
     # Groups are dealt in blocks by their number of shingles and of members.
-    deal = groups.join(_sizes(sets, named), "doc").groupBy("pivot").agg(F.greatest(F.ceil(F.sum("s") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("k"))
+    # Grouped sides are cut off before their joins: then both sides are shuffled, and a hot pivot can be split among tasks.
+    deal = cut(groups.join(_sizes(sets, named), "doc").groupBy("pivot").agg(F.greatest(F.ceil(F.sum("s") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("k")))
     dealt = groups.join(deal, "pivot").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("k")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     paired = dealt.select("pivot", "doc", "block", other.alias("o")).select("doc", F.struct("pivot", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), (F.col("block") > F.col("o")).cast("int").alias("side")).alias("g"))
