@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near-duplicate removal, suffix-array dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-back as the next stage's documents. All stages but the last return the columns of documents.
+back as the next stage's documents. All stages but the last return the columns of documents; further columns are
+not read, so their names cannot clash, and they end with the first stage. Each stage says what becomes of
+nulls, empty texts, ties and repeated rows; of an empty table each makes an empty one.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from keelson.llm import jaccard, packing, quality, suffix
 from keelson.session import cut, fresh_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Bytes: nearly every run of more than 50 words of prose is longer, stock phrases are shorter.
+PASSAGE = 200
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go, null and empty texts with them; all other rows stay unchanged, repeated ones each."""
     return quality.drop_rejected(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -36,12 +40,18 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in 400-byte strings that start twice are cut out; characters cut in half go too."""
-    return suffix.cut_text(docs.select(*COLUMNS))
+    """Strings of PASSAGE bytes stay where they come first (doc_id, null last, digest of the text, position) and are cut out elsewhere.
+
+    Texts that were cut meet the base rule of the first stage again: those with too few words left go. Texts that
+    were not cut all stay as they are, null and empty ones too (as empty). Rows equal in doc_id and text are one document.
+    """
+    left = suffix.cut_text(docs.select(*COLUMNS), PASSAGE)
+    words = F.size(F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))
+    return left.filter(~F.col("was_cut") | (words >= quality.MIN_WORDS)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids; a row per piece, with its ids."""
+    """Sequences of at most 2048 ids; a row per piece, with its ids. Null and empty texts are an end id; each row is a document, repeated or not."""
     return packing.pack(docs, emit="ids")
 
 
