@@ -120,6 +120,13 @@ def manifest_dir(path: Column) -> Column:
     return F.when(basename(path).isin(*MANIFESTS), F.regexp_replace(path, r"/?[^/]*$", ""))
 
 
+def module_root(path: Column) -> Column:
+    """Does the file stand for its directory?"""
+    name = basename(path)
+    # Names of such files.
+    return name.isin("lib.rs", "main.rs", "mod.rs", "__init__.py", "__init__.pyi", "__main__.py") | name.rlike(r"^index\.[mc]?tsx?$")
+
+
 def matches_language(path: Column) -> Column:
     """Language that claims the file's extension, else null."""
     ext = F.regexp_extract(basename(path), r"\.([^.]+)$", 1)

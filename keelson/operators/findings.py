@@ -115,31 +115,50 @@ def child_capacity(tree: DataFrame, parent: str, child: str, level: str, cap: in
     return _capacity(tree.filter(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("container")).agg(F.countDistinct(child).alias("measure")), level, cap)
 
 
-def derived_scopes(nodes: DataFrame, edges: DataFrame, tree: DataFrame, most_rounds: int = 64) -> DataFrame:
+def derived_scopes(nodes: DataFrame, edges: DataFrame, tree: DataFrame) -> DataFrame:
     """(id, level, container): the least scope that covers a node's own file and all its users.
 
-    Types exposed by something wider than a file take the wider scope, to a fixpoint. ``tree`` has the
+    Types exposed by something wider than a file take the wider scope, until nothing changes; scopes only widen over
+    five levels, so that ends. Each round looks at what the last one moved. ``tree`` has the
     ancestors of every container.
     """
+    levels = [x.lower() for x in schema.LEVELS]
     at = nodes.select("id", "kind", "container")
-    own = at.join(tree.withColumnRenamed("id", "container"), "container").select("id", *[x.lower() for x in schema.LEVELS])
-    users = edges.select(F.col("source").alias("id"), "target").join(own, "id").select(F.col("target").alias("id"), *[x.lower() for x in schema.LEVELS])
+    own = at.join(tree.withColumnRenamed("id", "container"), "container").select("id", *levels)
+    users = edges.select(F.col("source").alias("id"), "target").join(own, "id").select(F.col("target").alias("id"), *levels)
     scope = cut(hierarchy.scope_of_sets(own.unionByName(users), "id"))
     tied = edges.filter(F.col("kind").isin("TypeReference", "Inheritance")).select("source", "target").distinct()
     tied = cut(tied.join(at.filter("kind = 'Type'").select(F.col("id").alias("target")), "target", "left_semi"))
-    for _ in range(most_rounds):
-        spread = scope.join(tree.withColumnRenamed("id", "container"), "container").select("id", "level", *[x.lower() for x in schema.LEVELS])
-        wide = spread.filter("level <> 'File'").withColumnRenamed("id", "source").drop("level")
-        sent = tied.join(wide, "source").select(F.col("target").alias("id"), *[x.lower() for x in schema.LEVELS])
+    front = scope
+    while True:
+        wide = front.filter("level <> 'File'").join(tree.withColumnRenamed("id", "container"), "container").select(F.col("id").alias("source"), *levels)
+        sent = cut(tied.join(wide, "source").select(F.col("target").alias("id"), *levels))
         if not sent.limit(1).count():
-            break
-        both = spread.join(sent.select("id").distinct(), "id", "left_semi").drop("level").unionByName(sent)
-        new = hierarchy.scope_of_sets(both, "id").select("id", F.col("level").alias("l2"), F.col("container").alias("c2"))
-        after = cut(scope.join(new, "id", "left").select("id", F.coalesce("l2", "level").alias("level"), F.coalesce("c2", "container").alias("container"), F.coalesce(F.col("c2") != F.col("container"), F.lit(False)).alias("moved")))
-        scope = after.drop("moved")
-        if not after.filter("moved").limit(1).count():
-            break
-    return scope
+            return scope
+        reached = scope.join(sent.select("id").distinct(), "id", "left_semi")
+        spread = reached.join(tree.withColumnRenamed("id", "container"), "container").select("id", *levels)
+        new = hierarchy.scope_of_sets(spread.unionByName(sent), "id").select("id", F.col("level").alias("l2"), F.col("container").alias("c2"))
+        front = cut(reached.join(new, "id").filter("c2 <> container").select("id", F.col("l2").alias("level"), F.col("c2").alias("container")))
+        if not front.limit(1).count():
+            return scope
+        scope = cut(scope.join(front.select("id"), "id", "left_anti").unionByName(front.select(*scope.columns)))
+
+
+def finding_count(nodes: DataFrame, edges: DataFrame, tree: DataFrame, placement: DataFrame) -> DataFrame:
+    """One row: how many items would be declared too wide if each lived where placement(id, container) puts it."""
+    trial = nodes.drop("container").join(placement.select("id", "container"), "id")
+    wide = hierarchy.level_rank(F.col("visibility")) > hierarchy.level_rank(F.col("level"))
+    free = ~(F.coalesce("re_export", F.lit(False)) | F.coalesce("public_api", F.lit(False)) | F.coalesce("advice_exempt", F.lit(False)))
+    return trial.filter(free).join(derived_scopes(trial, edges, tree).select("id", "level"), "id").filter(wide).agg(F.count("*").alias("findings"))
+
+
+def capacity_remainder(measured: DataFrame) -> DataFrame:
+    """One row: hard capacity findings that a layout leaves, and how many of them are of files.
+
+    measured(level, severity), as the capacity operators give it, physical folders as level Folder.
+    """
+    hard = F.coalesce(F.col("severity") == "Violation", F.lit(False))
+    return measured.agg(F.count_if(hard).alias("remaining"), F.count_if(hard & (F.col("level") == "File")).alias("file_level"))
 
 
 def visibility_findings(nodes: DataFrame, scopes: DataFrame, ladders: DataFrame | None = None, test_only: DataFrame | None = None) -> DataFrame:

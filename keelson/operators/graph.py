@@ -6,6 +6,8 @@ components below a size, larger ones are solved by DataFrame rounds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from keelson.session import cut, ship
 
 LOCAL_EDGES = 1_000_000
 MOST_ROUNDS = 10_000
+MOST_PARTS = 100
 
 
 def price_edges(edges: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -121,6 +124,8 @@ def color_components(edges: DataFrame) -> DataFrame:
         done = got if done is None else done.unionByName(got)
         gone = reach.select("v")
         now = cut(now.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
+    else:
+        raise RuntimeError("strong components did not settle")
     return done if done is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
 
 
@@ -151,17 +156,20 @@ def layers(dag: DataFrame, vertices: DataFrame, local_edges: int = LOCAL_EDGES)
 
 
 def _layers_by_rounds(dag: DataFrame) -> DataFrame:
-    rest, at, done = cut(dag), 1, None
+    """A layer a round; each is written once, and all are put together at the end."""
+    rest, at, done = cut(dag), 1, []
     while True:
         outs = rest.select(F.col("src").alias("node")).distinct()
         leaves = rest.select(F.col("dst").alias("node")).distinct().join(outs, "node", "left_anti")
         if not leaves.limit(1).count():
-            return done
+            return reduce(DataFrame.unionByName, done)
         got = leaves.select("node", F.lit(at).cast("long").alias("layer"))
         after = cut(rest.join(leaves.withColumnRenamed("node", "dst"), "dst", "left_anti"))
         last = rest.select(F.col("src").alias("node")).distinct().join(after.select(F.col("src").alias("node")), "node", "left_anti")
         ending = last.join(after.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(at + 1).cast("long").alias("layer"))
-        done = cut(got.unionByName(ending) if done is None else done.unionByName(got).unionByName(ending))
+        done.append(cut(got.unionByName(ending)))
+        if len(done) == MOST_PARTS:
+            done = [cut(reduce(DataFrame.unionByName, done))]
         rest, at = after, at + 1
 
 

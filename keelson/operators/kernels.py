@@ -167,9 +167,9 @@ def heuristic_arcs(price: dict[tuple[int, int], float]) -> set[tuple[int, int]]:
         drop(v)
         left.append(v)
     order = left + right[::-1]
-    improved, rounds = True, 0
-    while improved and rounds < 50:
-        improved, rounds = False, rounds + 1
+    improved = True
+    while improved:  # each move drops the backward weight, so this ends
+        improved = False
         for v in nodes:
             k = order.index(v)
             gain, best, run = 0.0, k, 0.0

@@ -126,3 +126,39 @@ def worst(rows: DataFrame, rank: str, limit: int = 5) -> DataFrame:
     """The first ``limit`` rows by rank and the number hidden: a display limit."""
     n = rows.agg(F.count("*").alias("n"))
     return rows.orderBy(rank).limit(limit).join(F.broadcast(n.select(F.greatest(F.lit(0).cast("long"), F.col("n") - limit).alias("hidden"))))
+
+
+def kept_namespaces(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file, package, namespace) after a move: a file keeps its namespace where the package has it, else takes the
+    package's only one, else none. before(file, package, namespace), after(file, package)."""
+    known = before.filter("namespace is not null").select("package", "namespace").distinct()
+    only = known.groupBy("package").agg(F.count("*").alias("n"), F.min("namespace").alias("only"))
+    own = after.select("file", "package").join(before.filter("namespace is not null").select("file", "namespace"), "file")
+    there = own.join(known.withColumn("has", F.lit(True)), ["package", "namespace"], "left").join(only, "package", "left")
+    kept = F.when(F.coalesce("has", F.lit(False)), F.col("namespace")).when(F.col("n") == 1, F.col("only")).otherwise("")
+    return there.select("file", "package", kept.alias("namespace"))
+
+
+def qualify_names(elected: DataFrame) -> DataFrame:
+    """(cluster, label): names that siblings share get their anchor. elected(cluster, parent, name, anchor)."""
+    shared = F.count("*").over(Window.partitionBy("parent", "name")) > 1
+    anchor = F.replace(F.coalesce("anchor", F.lit("workspace")), F.lit("/"), F.lit("."))
+    return elected.withColumn("shared", shared).select("cluster", F.when(F.col("shared"), F.concat("name", F.lit(" ("), anchor, F.lit(")"))).otherwise(F.col("name")).alias("label"))
+
+
+def folder_impacts(moves: DataFrame) -> DataFrame:
+    """(folder, leaving, entering): files that leave and enter each folder. moves(path, destination): the new folder."""
+    old = F.regexp_replace("path", r"/?[^/]*$", "")
+    both = moves.select(F.explode(F.array(F.struct(old.alias("folder"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("destination").alias("folder"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"), (old != F.col("destination")).alias("real")).filter("real")
+    return both.groupBy("x.folder").agg(F.sum("x.o").alias("leaving"), F.sum("x.i").alias("entering"))
+
+
+def change_tree(moves: DataFrame) -> DataFrame:
+    """(side, path, depth, branch): the branches of the trees before and after that a move touches, files and directories."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    new = F.concat_ws("/", F.when(F.col("destination") != "", F.col("destination")), name)
+    sides = moves.filter(new != F.col("path")).select(F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("path").alias("path")), F.struct(F.lit("after").alias("side"), new.alias("path")))).alias("x")).select("x.side", "x.path")
+    s = F.split("path", "/")
+    step = sides.select("side", "path", F.explode(F.sequence(F.lit(1), F.size(s))).alias("depth"))
+    branch = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("depth")), "/")
+    return step.select("side", F.col("depth").cast("long").alias("depth"), branch.alias("branch"), (F.col("depth") == F.size(F.split("path", "/"))).alias("is_file")).distinct()

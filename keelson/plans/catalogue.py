@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from keelson import functions as K
 from keelson import schema
 from keelson import model
-from keelson.operators import advice, cluster, findings, graph, hierarchy, moves, partition, score, symbols
+from keelson.operators import advice, findings, graph, hierarchy, moves, partition, score, symbols
 from keelson.operators.components import connected_components
 from keelson.plans.projections import Tables
 from keelson.session import cut, ship
@@ -233,29 +233,6 @@ def mfas_weight_events(t: Tables) -> DataFrame:
     return _event_breaks(t).agg(F.sum("weight").alias("weight"), F.bool_and("exact").alias("exact"))
 
 
-@query(None)
-def mfas_breaks(t: Tables) -> DataFrame:
-    """Breaks of every cyclic component of the customer graph; asserts that they leave no cycle."""
-    e = cut(t.handover)
-    m = cut(graph.condense(e))
-    breaks = cut(graph.shatter(e, m, seconds=10.0))
-    left = graph.condense(e.join(breaks.select("src", "dst"), ["src", "dst"], "left_anti"))
-    if left.groupBy("scc").count().filter("count > 1").limit(1).count():
-        raise AssertionError("a cycle is left")
-    return breaks
-
-
-@query(None)
-def mfas_heuristic_valid(t: Tables) -> DataFrame:
-    """The heuristic alone on the customer graph's components; asserts acyclicity."""
-    e = cut(t.handover)
-    breaks = cut(graph.shatter(e, graph.condense(e), exact_vertices=0, seconds=0.0))
-    left = graph.condense(e.join(breaks.select("src", "dst"), ["src", "dst"], "left_anti"))
-    if left.groupBy("scc").count().filter("count > 1").limit(1).count():
-        raise AssertionError("a cycle is left")
-    return breaks
-
-
 @query(_sql("select vertex, cluster, round(pull, 4) pull, rank from (select *, row_number() over (partition by vertex order by round(pull, 6) desc, cluster) as rank from (select v.x vertex, b.folder cluster, sum(weight) pull from v join cust a on v.x = a.file join cust b on v.y = b.file where a.folder <> b.folder group by 1, 2 having sum(weight) > 0)) where rank <= 4", "cedge", "cust",
             v="select src x, dst y, weight from cedge union all select dst, src, weight from cedge"))
 def pull_targets_top4(t: Tables) -> DataFrame:
@@ -674,36 +651,6 @@ def name_alignment(t: Tables) -> DataFrame:
     return partition.name_alignment(m).select("cluster", _r("alignment").alias("alignment"))
 
 
-@query(None)
-def partition_acyclic(t: Tables) -> DataFrame:
-    """Multilevel clustering of the acyclic region-to-region part of the graph of folders; asserts caps and acyclicity."""
-    e = t.customers.select("folder", "file")
-    dag = graph.quotient(_customer_edges(t), e.select(F.col("file").alias("node"), F.col("folder").alias("scc"))).filter("src < dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    rows = [(r["src"], r["dst"], r["weight"]) for r in dag.collect()]  # folders: bounded by nations times segments
-    ids = sorted({v for r in rows for v in r[:2]})
-    at = {v: i for i, v in enumerate(ids)}
-    edges = [(at[a], at[b], w) for a, b, w in rows]
-    got = cluster.cluster_level([1.0] * len(ids), edges, 8.0)
-    if not cluster.acyclic(max(got) + 1, cluster.quotient(got, edges)) or max(got.count(c) for c in set(got)) > 8:
-        raise AssertionError("clusters break a bound")
-    return t.spark.createDataFrame([(ids[i], c) for i, c in enumerate(got)], "vertex long, cluster long")
-
-
-@query(None)
-def diversify_pick(t: Tables) -> DataFrame:
-    """Restarts of a clustering over seeds in parallel, then the good and mutually distant ones."""
-    seeds = t.spark.range(9).withColumnRenamed("id", "seed")
-
-    def solve(s: int) -> tuple[float, list[int]]:
-        edges = [(i, j, 1.0 + (i * j + s) % 5) for i in range(18) for j in range(i) if (i + j * (s % 3 + 1)) % 4 == 0]
-        got = cluster.cluster_level([1.0] * 18, edges, 5.0 + s % 3)
-        return cluster.cut_weight(got, edges) / sum(w for *_, w in edges), got
-
-    rows = partition.restarts(seeds, solve).orderBy("seed").collect()  # one row per restart: a fixed small number
-    picked, converged = partition.diversify([(r["score"], r["assignment"]) for r in rows], tolerance=0.5)
-    return t.spark.createDataFrame([(int(rows[i]["seed"]), float(rows[i]["score"]), converged) for i in picked], "seed long, score double, converged boolean")
-
-
 # --- moves and advice ----------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ imports, then in their own file, and for Rust by a workspace-wide unique name (s
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
 from collections.abc import Iterator
@@ -167,9 +168,46 @@ def resolve_typescript(target: F.Column) -> F.Column:
     return F.array(*[F.concat(target, F.lit(x)) for x in (".ts", ".tsx", ".mts", "/index.ts", "/index.tsx", "")])
 
 
-def bind(rows: DataFrame) -> dict[str, DataFrame]:
-    """nodes and edges of the subset."""
+def module_maps(path: str, contents: str) -> list[tuple[int, str, str, str]]:
+    """(step, scope, key, target) of one package.json or tsconfig.json: 1 subpath imports, 2 path aliases, 3 the package's own
+    name. A trailing /* stands for anything; ``scope`` is the directory within which subpaths and aliases hold."""
+    here = posixpath.dirname(path)
+    try:
+        found = json.loads(re.sub(r"^\s*//.*$", "", contents, flags=re.M))
+    except ValueError:
+        return []
+    plain = lambda x: re.sub(r"/\*$", "", x)
+    at = lambda base, x: posixpath.normpath(posixpath.join(here, base, plain(x)))
+    if not isinstance(found, dict):
+        return []
+    if posixpath.basename(path) == "package.json":
+        rows = [(1, here, plain(k), at("", v)) for k, v in (found.get("imports") or {}).items() if isinstance(v, str)]
+        return rows + ([(3, "", found["name"], at("", "."))] if isinstance(found.get("name"), str) else [])
+    options = found.get("compilerOptions") or {}
+    return [(2, here, plain(k), at(options.get("baseUrl", "."), v[0])) for k, v in (options.get("paths") or {}).items() if v]
+
+
+def mapped_targets(uses: DataFrame, maps: DataFrame) -> DataFrame:
+    """Non-relative module names written as paths: the first step that knows them, then the longest key, then the deepest scope.
+
+    uses(path, target), maps(step, scope, key, target): keys meet the leading parts of a name in an equi-join.
+    """
+    s = F.split("target", "/")
+    u = uses.select("path", "target").distinct().select("path", "target", F.explode(F.sequence(F.lit(1), F.size(s))).alias("k"))
+    u = u.withColumn("key", F.array_join(F.slice(F.split("target", "/"), F.lit(1), F.col("k")), "/"))
+    m = maps.select("step", "scope", "key", F.col("target").alias("base")).distinct()
+    inside = (F.col("scope") == "") | F.startswith(F.col("path"), F.concat("scope", F.lit("/")))
+    rest = F.array_join(F.slice(F.split("target", "/"), F.col("k") + 1, F.size(F.split("target", "/"))), "/")
+    hit = u.join(m, "key").filter(inside).withColumn("mapped", F.regexp_replace(F.concat_ws("/", "base", F.when(rest != "", rest)), r"^\./", ""))
+    return hit.groupBy("path", "target").agg(F.min_by("mapped", F.struct("step", -F.col("k"), -F.length("scope"), "base")).alias("mapped"))
+
+
+def bind(rows: DataFrame, maps: DataFrame | None = None) -> dict[str, DataFrame]:
+    """nodes and edges of the subset; ``maps`` (see mapped_targets) leads TypeScript's non-relative module names to files."""
     rows = cut(rows)
+    if maps is not None:
+        led = mapped_targets(rows.filter("language = 'typescript' and target is not null"), maps)
+        rows = cut(rows.join(led, ["path", "target"], "left").withColumn("target", F.coalesce("mapped", "target")).select(*[c.split()[0] for c in ROWS.split(", ")]))
     d = rows.filter("what = 'declaration'").dropDuplicates(["path", "name"])
     order = Window.partitionBy("path").orderBy("name")
     counts = d.groupBy("path").agg(F.count("*").alias("k"))
@@ -209,3 +247,26 @@ def companions(nodes: DataFrame) -> DataFrame:
     f = nodes.filter("kind = 'Symbol'").select(F.col("id").alias("owner"), lower(F.col("name")).alias("key"))
     one = f.groupBy("key").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).filter("n = 1")
     return t.join(one, "key").select("owner", "companion", F.lit("companion-owner").alias("kind"))
+
+
+def test_support_crates(members: DataFrame, uses: DataFrame) -> DataFrame:
+    """(root,): crates that only support the tests of others: unpublished, a library without a program, and used by no
+    other member outside its development dependencies. None if there are fewer than two members or all would be such.
+
+    members(root, unpublished, has_lib, has_bin), uses(root, used, development).
+    """
+    used = uses.filter("not development").select(F.col("used").alias("root")).distinct()
+    fit = members.filter("unpublished and has_lib and not has_bin").join(used, "root", "left_anti").select("root")
+    counts = members.agg(F.count("*").alias("all")).join(F.broadcast(fit.agg(F.count("*").alias("some"))))
+    return fit.join(F.broadcast(counts.filter("all >= 2 and some < all")), how="inner").select("root")
+
+
+def advisory_uses(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(user, used, from_test): declarations that names in unloaded code may mean; true only while every source is test code.
+
+    names(user, name, from_test), nodes(id, name, test_source).
+    """
+    hit = names.join(nodes.filter("not test_source").select(F.col("id").alias("used"), "name"), "name").filter("user <> used")
+    user = nodes.select(F.col("id").alias("user"), "test_source")
+    hit = hit.groupBy("user", "used").agg(F.bool_and("from_test").alias("from_test")).join(user, "user")
+    return hit.select("user", "used", (F.col("from_test") | F.col("test_source")).alias("from_test"))

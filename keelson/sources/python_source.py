@@ -212,6 +212,8 @@ def parse(path: str, source: str) -> list[tuple]:
     for alias, (target, item) in bound.items():
         if item is not None and (path.endswith(("__init__.py", "__init__.pyi")) or (exported and alias in exported)):
             rows.append((path, module, "re_export", alias, None, target, item, 0, 0))
+    for target, item in bound.values():  # modules taken whole; ``from m import x`` may mean a module m.x
+        rows.append((path, module, "whole", None, None, f"{target}.{item}" if item else target, None, 0, 0))
     for x in exported or ():
         rows.append((path, module, "public", x, None, None, None, 0, 0))
     return rows
@@ -258,7 +260,10 @@ def bind(rows: DataFrame) -> dict[str, DataFrame]:
     listing = rows.filter("what = 'public'").select("path", F.lit(True).alias("closed")).distinct()
     n = ids.join(public, ["path", "name"], "left").join(listing, "path", "left")
     open_ = F.when(F.col("closed"), F.coalesce("listed", F.lit(False))).otherwise(~F.col("name").startswith("_"))
-    nodes = cut(n.select("id", "path", "module", "name", "kind", is_test_path(F.col("path")).alias("polarity"), F.col("sloc").alias("effective_size"), "re_export", open_.alias("public_api")))
+    # A production module that takes another whole may use any of its members: they are beyond advice.
+    whole_by = rows.filter("what = 'whole'").filter(is_test_path(F.col("path")) == "Production").select(F.col("target_module").alias("module"), F.lit(True).alias("advice_exempt")).distinct()
+    n = n.join(whole_by, "module", "left").withColumn("advice_exempt", F.coalesce("advice_exempt", F.lit(False)))
+    nodes = cut(n.select("id", "advice_exempt", "path", "module", "name", "kind", is_test_path(F.col("path")).alias("polarity"), F.col("sloc").alias("effective_size"), "re_export", open_.alias("public_api")))
     at = nodes.select(F.col("module").alias("target_module"), F.col("name").alias("target_name"), F.col("id").alias("target"))
     own = nodes.select("path", "name", F.col("id").alias("source"))
     u = rows.filter("what = 'use'").select("path", "name", "kind", "target_module", "target_name", "level")

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from keelson.plans import catalogue
+from keelson.plans import every as catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
