@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from keelson import schema
 from keelson.errors import KeelsonError
 from keelson.operators import graph, hierarchy
+from keelson.session import cut
 
 # Fixed value: columns that a saved snapshot leaves out, and so its hash.
 _UNHASHED = {"containers": ("synthetic", "label_keyed")}
@@ -63,6 +64,8 @@ def assemble(spark: SparkSession, tables: dict[str, DataFrame], version: int = 3
     if version == 2:  # earlier snapshots say by their edges which nodes re-export
         made = t["edges"].filter("kind = 'ReExport'").select(F.col("source").alias("id"), F.lit(True).alias("made")).distinct()
         t["nodes"] = t["nodes"].join(made, "id", "left").withColumn("re_export", F.col("re_export") | F.coalesce("made", F.lit(False))).drop("made")
+    # Every check, the hash and all later queries read each table: it is written once.
+    t |= {name: cut(t[name]) for name in t if tables.get(name) is not None}
     twice = t["nodes"].groupBy("id").count().filter("count > 1").limit(1).collect()
     if twice:
         raise KeelsonError("SNAPSHOT_INVALID", "duplicate node id", id=twice[0]["id"])
@@ -101,7 +104,7 @@ def merge_fragments(spark: SparkSession, fragments: Sequence[dict[str, DataFrame
     names = {n for m in shifted for n in m}
     out = {n: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [m[n] for m in shifted if n in m]) for n in names}
     placed = hierarchy.laminar_tree(out["nodes"].select("path"), package_roots, root_name)
-    tree = hierarchy.tree_containers(placed, root_name)
+    tree = cut(hierarchy.tree_containers(placed, root_name))
     files = tree.filter("level = 'File'").select(F.col("id").alias("container"), F.col("name").alias("path"))
     out["nodes"] = out["nodes"].drop("container").join(files, "path")
     out["containers"] = tree

@@ -27,7 +27,7 @@ def cycle_findings(membership: DataFrame, home: DataFrame) -> DataFrame:
     return rows.filter("members > 1 and not (size(location) = 1 and known = members)").select("scc", "members", "location")
 
 
-def solved_cycles(edges: DataFrame, membership: DataFrame, home: DataFrame, nodes: DataFrame, affinity_symbol: float = schema.SAME_FILE_SYMBOL, affinity_type: float = schema.SAME_FILE_TYPE) -> DataFrame:
+def solved_cycles(edges: DataFrame, membership: DataFrame, home: DataFrame, nodes: DataFrame, affinity_symbol: float = schema.SAME_FILE_SYMBOL, affinity_type: float = schema.SAME_FILE_TYPE, exact_vertices: int = schema.EXACT_VERTICES, seconds: float = schema.EXACT_SECONDS) -> DataFrame:
     """Cheapest breaks per component on priced hard edges; file-crossing breaks come first (``crossing``).
 
     edges(source, target, kind, hardness, confidence), nodes(id, kind).
@@ -37,7 +37,7 @@ def solved_cycles(edges: DataFrame, membership: DataFrame, home: DataFrame, node
     priced = priced.join(kinds.select(F.col("id").alias("source"), F.col("kind").alias("ks")), "source").join(kinds.select(F.col("id").alias("target"), F.col("kind").alias("kt")), "target")
     a, b = home.select(F.col("node").alias("source"), F.col("file").alias("fs")), home.select(F.col("node").alias("target"), F.col("file").alias("ft"))
     priced = priced.join(a, "source", "left").join(b, "target", "left").withColumn("weight", F.col("weight") * same_file_affinity("fs", "ft", "ks", "kt", affinity_symbol, affinity_type))
-    breaks = graph.shatter(priced.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight"), membership)
+    breaks = graph.shatter(priced.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight"), membership, exact_vertices, seconds)
     files = home.select("node", "file")
     both = breaks.join(files.select(F.col("node").alias("src"), F.col("file").alias("fs")), "src", "left").join(files.select(F.col("node").alias("dst"), F.col("file").alias("ft")), "dst", "left")
     return both.select("scc", "src", "dst", "weight", "exact", (~F.col("fs").eqNullSafe(F.col("ft"))).alias("crossing"))

@@ -38,8 +38,9 @@ def summary(result: dict, shown: int | None = SHOWN) -> str:
         for i, c in enumerate(p["candidates"], 1):
             out.append(f"  candidate {i}: J {c['score']:.4f}, {len(c['moves'])} moves")
             out += limited([f"    {m['file']}: {m['from']} -> {m['to']}" for m in c["moves"]], shown)
+            out += limited([f"    {m['kind'].lower()} {m['symbol']}: {m['from']} -> {m['to']}" for m in c.get("symbolMoves", ())], shown)
     if result["advice"]:
-        out += ["", "advice:", *limited([f"  {a['subject']} -> {', '.join(a['destinations'])}" + ("" if a["agreed"] else " (review)") for a in result["advice"]], shown)]
+        out += ["", "advice:", *limited([f"  {a['subject']} -> {a['destination']}" + ("" if a["recommended"] else f" (review: {', '.join(a['reasons'])})") for a in result["advice"]], shown)]
     return "\n".join(w for line in out for w in (textwrap.wrap(line, 100, subsequent_indent="      ", drop_whitespace=False, break_long_words=False) or [""]))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from keelson.session import cut, ship
 
 FALLBACK = 0.6
+BARE = "bare:"  # leads a module name that is no relative path
 ROWS = "path string, language string, what string, name string, kind string, target string, item string, sloc long"
 _TS = re.compile(r"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|enum|const|let|var)\s+([A-Za-z_$][\w$]*)", re.M)
 _RS = re.compile(r"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+(?=fn))*(fn|struct|enum|trait|type|const|static|union|macro_rules!)\s+([A-Za-z_]\w*)", re.M)
@@ -104,7 +105,7 @@ def parse(path: str, source: str) -> list[tuple]:
     else:
         for m in re.finditer(r"^(import|export)\s+(?:type\s+)?(.*?)\s*from\s*['\"]", text, re.M | re.S):
             spec = re.match(r"[^'\"\n]*", source[m.end() :])[0]
-            target = posixpath.normpath(posixpath.join(folder, spec)) if spec.startswith(".") else spec
+            target = posixpath.normpath(posixpath.join(folder, spec)) if spec.startswith(".") else BARE + spec
             braces = re.search(r"\{(.*?)\}", m[2], re.S)
             for part in braces[1].split(",") if braces else ():
                 name, _, alias = part.strip().removeprefix("type ").partition(" as ")
@@ -192,12 +193,12 @@ def mapped_targets(uses: DataFrame, maps: DataFrame) -> DataFrame:
 
     uses(path, target), maps(step, scope, key, target): keys meet the leading parts of a name in an equi-join.
     """
-    s = F.split("target", "/")
-    u = uses.select("path", "target").distinct().select("path", "target", F.explode(F.sequence(F.lit(1), F.size(s))).alias("k"))
-    u = u.withColumn("key", F.array_join(F.slice(F.split("target", "/"), F.lit(1), F.col("k")), "/"))
+    s = F.split(F.substr("target", F.lit(len(BARE) + 1)), "/")
+    u = uses.filter(F.startswith(F.col("target"), F.lit(BARE))).select("path", "target").distinct().select("path", "target", F.explode(F.sequence(F.lit(1), F.size(s))).alias("k"))
+    u = u.withColumn("key", F.array_join(F.slice(s, F.lit(1), F.col("k")), "/"))
     m = maps.select("step", "scope", "key", F.col("target").alias("base")).distinct()
     inside = (F.col("scope") == "") | F.startswith(F.col("path"), F.concat("scope", F.lit("/")))
-    rest = F.array_join(F.slice(F.split("target", "/"), F.col("k") + 1, F.size(F.split("target", "/"))), "/")
+    rest = F.array_join(F.slice(s, F.col("k") + 1, F.size(s)), "/")
     hit = u.join(m, "key").filter(inside).withColumn("mapped", F.regexp_replace(F.concat_ws("/", "base", F.when(rest != "", rest)), r"^\./", ""))
     return hit.groupBy("path", "target").agg(F.min_by("mapped", F.struct("step", -F.col("k"), -F.length("scope"), "base")).alias("mapped"))
 

@@ -165,6 +165,61 @@ def test_saved_results_and_commands(tmp_path, capsys, spark, cyclic):
     capsys.readouterr()
 
 
+def test_moves_carry_evidence_and_pins_hold(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "y").mkdir()
+    (tmp_path / "x" / "helper.py").write_text("def aid():\n    return 1\n\n\ndef more():\n    return 2\n")
+    for k in range(3):
+        (tmp_path / "x" / f"own{k}.py").write_text(f"def own{k}():\n    return {k}\n")
+        (tmp_path / "y" / f"user{k}.py").write_text(f"from x.helper import aid, more\n\n\ndef user{k}():\n    return aid() + more()\n")
+    cfg = config.from_document({"analysis": {"profiles": ["greenfield"]}, "tests": {"patterns": ["own2.py"]}})
+    s = analysis.snapshot_from_path(spark, tmp_path, cfg)
+    assert {r["name"]: r["polarity"] for r in s.nodes.collect()} == {"aid": "Production", "more": "Production", "own0": "Production", "own1": "Production", "own2": "TestSupport", **{f"user{k}": "Production" for k in range(3)}}
+    r = analysis.analyze(s, cfg)
+    best = r["profiles"][0]["candidates"][0]
+    root = tmp_path.name
+    assert best["moves"] == [{"file": "x/helper.py", "from": f"{root}/x", "to": f"{root}/y"}] and best["score"] < r["profiles"][0]["current"]["score"]
+    assert {t["path"]: t["package"] for t in best["tree"]} == dict.fromkeys((t["path"] for t in best["tree"]), root)
+    told = r["advice"][0]
+    assert (told["subject"], told["destination"]) == ("x/helper.py", f"{root}/y") and told["recommended"] == (told["reasons"] == [])
+    assert "x/helper.py" in render.summary(r)
+    cfg = config.from_document({"analysis": {"profiles": ["greenfield"]}, "profiles": {"greenfield": {"relocation": {"forbid-files": ["x/helper.py"]}}}})
+    held, mass = analysis.layout_of(s, cfg, "greenfield")
+    assert held.files["x/helper.py"].pinned and all(c.folder["x/helper.py"] == f"{root}/x" for _, c in search.search(held, mass)["candidates"])
+
+
+def test_settling_and_assembling():
+    f = lambda p, folder, **k: search.File(p, 5, folder, folder, "r", **k)
+    files = {p.path: p for p in (f("a/m.py", "r/a"), f("a/test_m.py", "r/a"), f("b/m.py", "r/b"), f("b/k.py", "r/b"), f("c/m.py", "r/c"))}
+    home = {p: x.folder for p, x in files.items()}
+    x = search.Layout(files, home, {("b/k.py", "c/m.py"): 2.0})
+    taken = search.settle(x.moved(home | {"a/m.py": "r/b", "c/m.py": "r/b"}))
+    assert taken.folder == home  # b/m.py stays, so both movers give way
+    x.up["r/d"] = ("r/d", "r")
+    led = search.settle(x.moved(home | {"a/m.py": "r/d"}), [("a/m.py", "a/test_m.py")])
+    assert led.folder == home | {"a/m.py": "r/d", "a/test_m.py": "r/d"}
+    pinned = files | {"a/test_m.py": f("a/test_m.py", "r/a", pinned=True)}
+    assert search.settle(search.Layout(pinned, home | {"a/m.py": "r/d"}, {}, up=x.up), [("a/m.py", "a/test_m.py")]).folder == home
+    up = search.assemble(x)
+    assert set(up) == set(home.values()) and {p for _, p in up.values()} == {"r"}
+
+
+def test_typescript_names_through_maps(spark):
+    files = spark.createDataFrame([("app/a.ts", 'import { one } from "#lib/one";\nimport { two } from "@/two";\nimport { three } from "kit/three";\nexport function go() { one(); two(); three(); }\n'), ("app/lib/one.ts", "export function one() {}\n"), ("app/src/two.ts", "export function two() {}\n"), ("kit/three.ts", "export function three() {}\n")], "path string, contents string")
+    found = [("app/package.json", '{"name": "app", "imports": {"#lib/*": "./lib/*"}}'), ("app/tsconfig.json", '// note\n{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}'), ("kit/package.json", '{"name": "kit"}'), ("x/package.json", "not json")]
+    maps = spark.createDataFrame([r for m in found for r in brace_source.module_maps(*m)], "step int, scope string, key string, target string")
+    got = brace_source.bind(brace_source.parse_files(files), maps)
+    names = {r.id: r.name for r in got["nodes"].collect()}
+    assert {(names[r.source], names[r.target]) for r in got["edges"].collect()} == {("go", "one"), ("go", "two"), ("go", "three")}
+    assert brace_source.bind(brace_source.parse_files(files))["edges"].count() == 0
+
+
+def test_modules_taken_whole_are_beyond_advice(spark):
+    files = spark.createDataFrame([("a.py", "import b\nfrom pkg import sub\n\n\ndef go():\n    return b\n"), ("b.py", "def used():\n    pass\n"), ("pkg/sub.py", "def deep():\n    pass\n"), ("c.py", "def plain():\n    pass\n"), ("test_c.py", "import c\n\n\ndef test_c():\n    pass\n")], "path string, contents string")
+    got = python_source.bind(python_source.parse_files(files))["nodes"].collect()
+    assert {r.name: r.advice_exempt for r in got} == {"go": False, "used": True, "deep": True, "plain": False, "test_c": False}
+
+
 def test_incremental_findings(spark, tmp_path):
     from keelson.operators import graph
     from keelson.streaming.incremental import watch
