@@ -11,8 +11,9 @@ Candidates that share a fragment are gathered round one of them (the pivot), onc
 fragment. Inside such a group overlaps are counted fragment by fragment
 and summed per pair, first with the pivot, then from each set not yet linked to it against those of other
 components; a pair is dropped when what is left cannot reach the bound. Only a spanning set of
-links leaves a group. Groups above a size are dealt in blocks, each pair of blocks a task of its
-own, so every pair is still compared. Equal sets are one node from the start.
+links leaves a group. Groups above a size are dealt in blocks, each with the pivot: sets that reach the pivot
+within their block are linked with one another, so only pairs with a set that does not (a loose one) are left, and
+those are compared in pairs of blocks. Equal sets are one node (128 bits of hash) from the start.
 
 Cases. Null, empty or blank text: no shingles, its own component. Fewer words than n: the whole
 sequence is the one shingle. Repeated rows: equal sets, so linked. Null doc_id: linked like any,
@@ -129,8 +130,8 @@ def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _node(x: np.ndarray) -> int | None:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes(), seed=len(x))).astype(np.int64)) if len(x) else None
+def _node(x: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(x.tobytes(), seed=len(x)) if len(x) else None
 
 
 def digest() -> F.Column:
@@ -144,9 +145,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [shingles(t, n) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(v) for v in x], pa.int64()), pa.array([_node(v) for v in x], pa.int64())], names=["doc_id", "t", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(v) for v in x], pa.int64()), pa.array([_node(v) for v in x], pa.binary())], names=["doc_id", "t", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text", digest().alias("t")).mapInArrow(run, "doc_id long, t binary, n_shingles long, node long")
+    return docs.select("doc_id", "text", digest().alias("t")).mapInArrow(run, "doc_id long, t binary, n_shingles long, node binary")
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -175,14 +176,14 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
-    """docs(key, text, deals) to a row per deal: pivot, a, b, later, side, node, x."""
+    """docs(key, text, deals) to a row per deal: pivot, a, b, side, later, node, x, doc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pivot", "a", "b", "side", "later", "node", "x"]
+        kinds = {"pivot": pa.int64(), "a": pa.int64(), "b": pa.int64(), "side": pa.int32(), "later": pa.bool_(), "node": pa.binary(), "x": pa.list_(pa.int64()), "doc": pa.int64()}
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            c = list(zip(*rows)) if rows else [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.bool_()), pa.array(c[5], pa.int64()), pa.array(c[6], pa.list_(pa.int64()))], names=names)
+            cols = list(zip(*rows)) if rows else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values())], names=list(kinds))
 
         for b in batches:
             rows, size = [], 0
@@ -192,30 +193,32 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
                 if v is None:
                     continue
                 for g in deals:
-                    rows.append((g["pivot"], g["a"], g["b"], g["side"], d != g["pivot"], v, x.view(np.int64)))
+                    rows.append((g["pivot"], g["a"], g["b"], g["side"], d != g["pivot"], v, x.view(np.int64), d))
                     size += len(x)
                     if size > 1 << 20:
                         yield out(rows)
                         rows, size = [], 0
             yield out(rows)
 
-    return docs.mapInArrow(run, "pivot long, a long, b long, side int, later boolean, node long, x array<long>")
+    return docs.mapInArrow(run, "pivot long, a long, b long, side int, later boolean, node binary, x array<long>, doc long")
 
 
-def link_group(nodes: list[int], sets: list[np.ndarray], percent: int, blocks: list[int] | None = None) -> list[tuple[int, int]]:
-    """A spanning set of the links among the sets: overlaps per fragment, summed per pair.
+def link_group(nodes: list[bytes], sets: list[np.ndarray], percent: int, blocks: list[int] | None = None, joined: bool = False) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
+    """A spanning set of the links among the sets (overlaps per fragment, summed per pair), and a label per set, equal in one component.
 
-    With ``blocks`` (0 or 1 per set) only pairs across the two blocks count.
+    With ``blocks`` (0 or 1 per set) only pairs across the two blocks count; with ``joined`` the sets of block 1
+    are known to be one component.
     """
     m = len(nodes)
+    label = np.arange(m)
     if m < 2:
-        return []
+        return [], label
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     if m == 2:
         if blocks and blocks[0] == blocks[1]:
-            return []
+            return [], label
         inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(nodes[0], nodes[1])] if 100 * inter >= percent * (sizes.sum() - inter) else []
+        return ([(nodes[0], nodes[1])], label * 0) if 100 * inter >= percent * (sizes.sum() - inter) else ([], label)
     owner = np.repeat(np.arange(m), sizes)
     flat = np.concatenate(sets).view(np.uint64)
     _, ids = np.unique(flat, return_inverse=True)
@@ -223,7 +226,8 @@ def link_group(nodes: list[int], sets: list[np.ndarray], percent: int, blocks: l
     parts = [(ids[p], owner[p]) for p in (piece == np.uint64(k) for k in range(PIECES))]
     parts = [(i, np.searchsorted(o, np.arange(m + 1))) for i, o in parts]
     side = np.array(blocks) if blocks else None
-    label = np.arange(m)
+    if joined and side.any():
+        label[side == 1] = label[side == 1][0]
     seen, out = np.zeros(int(ids.max()) + 1, dtype=np.int32), []
 
     def against(v: int, others: np.ndarray) -> np.ndarray:
@@ -258,38 +262,54 @@ def link_group(nodes: list[int], sets: list[np.ndarray], percent: int, blocks: l
             if label[u] != label[v]:
                 label[label == label[u]] = label[v]
                 out.append((nodes[v], nodes[u]))
-    return out
+    return out, label
 
 
 def _links(members: DataFrame, percent: int) -> DataFrame:
-    """members: (pivot, a, b, node, side, x), each group (pivot, a, b) within one task and together in order."""
+    """members (see _members), each group (pivot, a, b) within one task, together and the pivot first.
+
+    A group with a = b is one block, a < b two, and b < 0 stands for loose sets (side 0) against sets linked with the
+    pivot (side 1). Rows are links (src, dst), and (pivot, doc) of the loose sets of blocks with side 1: the first
+    blocks of groups that have several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets, sides = None, [], [], []
+        now, nodes, sets, sides, docs = None, [], [], [], []
+        kinds = {"src": pa.binary(), "dst": pa.binary(), "pivot": pa.int64(), "doc": pa.int64()}
 
-        def links() -> list[tuple[int, int]]:
-            return link_group(nodes, sets, percent, sides if now and now[1] != now[2] else None)
+        def links() -> list[tuple]:
+            if not now:
+                return []
+            pivot, a, b = now
+            pairs, label = link_group(nodes, sets, percent, sides if a != b else None, joined=b < 0)
+            loose = np.flatnonzero(label != label[0]).tolist() if a == b and sides[0] else ()
+            return [(x, y, None, None) for x, y in pairs] + [(None, None, pivot, docs[k]) for k in loose]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values())], names=list(kinds))
 
         for b in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple] = []
             keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
-            node, side = b.column(3).to_pylist(), b.column(4).to_pylist()
+            node, side, doc = b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(6).to_pylist()
             x = b.column(5)
             off, val = x.offsets.to_numpy(), x.values.to_numpy()
             for r, key in enumerate(keys):
                 if key != now:
                     out += links()
-                    now, nodes, sets, sides = key, [], [], []
+                    now, nodes, sets, sides, docs = key, [], [], [], []
                 if nodes and nodes[-1] == node[r] and sides[-1] == side[r]:
                     continue
                 nodes.append(node[r])
                 sides.append(side[r])
+                docs.append(doc[r])
                 sets.append(val[off[r] : off[r + 1]].copy())
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
-        out = links()
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+            yield batch(out)
+        yield batch(links())
 
-    return members.mapInArrow(run, "src long, dst long")
+    together = members.repartition(partitions(members.sparkSession), "pivot", "a", "b").sortWithinPartitions("pivot", "a", "b", "later", "node")
+    return together.select("pivot", "a", "b", "node", "side", "x", "doc").mapInArrow(run, "src binary, dst binary, pivot long, doc long")
 
 
 def _groups(signed: DataFrame) -> DataFrame:
@@ -314,16 +334,48 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     keyed = named.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
     sets = cut(_sets(named, n))
     groups = cut(_groups(_signed(keyed, n, percent)))
-    # Groups are dealt in blocks by their number of shingles and of members.
     # Grouped sides are cut off before their joins: then both sides are shuffled, and a hot pivot can be split among tasks.
-    deal = cut(groups.join(_sizes(sets, named), "doc").groupBy("pivot").agg(F.greatest(F.ceil(F.sum("s") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("k")))
-    dealt = groups.join(deal, "pivot").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("k")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-    paired = dealt.select("pivot", "doc", "block", other.alias("o")).select("doc", F.struct("pivot", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), (F.col("block") > F.col("o")).cast("int").alias("side")).alias("g"))
-    deals = paired.groupBy(F.col("doc").alias("key")).agg(F.collect_list("g").alias("deals"))
-    members = _members(keyed.join(deals, "key").select("key", "text", "deals"), n)
-    together = members.repartition(partitions(spark), "pivot", "a", "b").sortWithinPartitions("pivot", "a", "b", "later", "node").select("pivot", "a", "b", "node", "side", "x")
-    return sets, connected_components(_links(together, percent))
+    blocks = cut(_blocks(groups, sets, named, "k"))
+    dealt = groups.join(blocks, "pivot").withColumn("block", _block("k"))
+    first = dealt.select("pivot", "doc", "k", F.explode(F.when(F.col("doc") == F.col("pivot"), _each("k")).otherwise(F.array("block"))).alias("block"))
+    found = cut(_links(_members(_dealt(keyed, first.select("doc", _deal("block", "block", F.col("k") > 1))), n), percent))
+    loose = found.filter("src is null").select("pivot", "doc").distinct()
+    links = found.filter("src is not null").select("src", "dst")
+    if loose.limit(1).count():
+        loose = cut(loose)
+        again = dealt.join(cut(_blocks(loose, sets, named, "c")), "pivot").join(loose.withColumn("loose", F.lit(True)), ["pivot", "doc"], "left")
+        own, other = _block("c"), F.col("other")
+        # Block j of the linked sets is named -1 - j.
+        apart = again.filter("loose").select("pivot", "doc", own.alias("own"), F.explode(_each("c")).alias("other")).select("doc", _deal(F.least("own", other), F.greatest("own", other), F.col("own") > other))
+        across = again.filter("loose").select("pivot", "doc", own.alias("own"), F.explode(_each("k")).alias("other")).select("doc", _deal("own", -1 - other, F.lit(False)))
+        linked = again.filter("loose is null").select("pivot", "doc", "block", F.explode(_each("c")).alias("other")).select("doc", _deal("other", -1 - F.col("block"), F.lit(True)))
+        more = _links(_members(_dealt(keyed, apart.unionByName(across).unionByName(linked)), n), percent)
+        links = links.unionByName(more.filter("src is not null").select("src", "dst"))
+    return sets, connected_components(links)
+
+
+def _blocks(groups: DataFrame, sets: DataFrame, named: DataFrame, name: str) -> DataFrame:
+    """(pivot, number of blocks), by the shingles and members of each group."""
+    wide = F.greatest(F.ceil(F.sum("s") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS), F.lit(1).cast("long"))
+    return groups.join(_sizes(sets, named), "doc").groupBy("pivot").agg(wide.alias(name))
+
+
+def _block(count: str) -> F.Column:
+    return F.pmod(F.xxhash64("doc"), F.col(count))
+
+
+def _each(count: str) -> F.Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
+
+def _deal(a: F.Column | str, b: F.Column | str, side: F.Column) -> F.Column:
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.struct("pivot", col(a).cast("long").alias("a"), col(b).cast("long").alias("b"), side.cast("int").alias("side")).alias("g")
+
+
+def _dealt(keyed: DataFrame, deals: DataFrame) -> DataFrame:
+    """The texts that are dealt, each once with all its deals."""
+    return keyed.join(deals.groupBy(F.col("doc").alias("key")).agg(F.collect_list("g").alias("deals")), "key").select("key", "text", "deals")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

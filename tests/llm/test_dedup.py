@@ -138,11 +138,25 @@ def test_components_match_brute_force(spark, n, percent, seed):
     assert got == slow_components(rows, n, percent)
 
 
-def test_components_with_blocks_and_oddities(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 4)
-    rows = with_oddities(near_copies(7, groups=3))
+def drifting(seed, size=40, length=70):
+    """Each text is like the few before and after it only, so that most of a group are not like its pivot."""
+    rng = random.Random(seed)
+    w, rows = [f"w{rng.randrange(500)}" for _ in range(length)], []
+    for k in range(size):
+        w[(7 * k) % length] = f"n{k}"
+        rows.append((5000 + (k * 17) % size, " ".join(w), *[None] * 7))
+    return rows
+
+
+@pytest.mark.parametrize(("members", "seed"), [(4, 7), (2, 8)])
+def test_components_with_blocks_and_oddities(spark, monkeypatch, members, seed):
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", members)
+    passes, links = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda *x: passes.append(1) or links(*x))
+    rows = with_oddities([*near_copies(seed, groups=3), *drifting(seed)])
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows), 3, 90).collect())
     assert got == slow_components(rows, 3, 90)
+    assert len(passes) == 2  # some sets of large groups are not linked with their pivot
     assert jaccard.jaccard_components(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_components(frame(spark, [(5, None, *[None] * 7), (6, " ", *[None] * 7)])).orderBy("doc_id").collect()] == [(5, 0, 5), (6, 0, 6)]
 
