@@ -39,6 +39,7 @@ GROWTH = 1.25
 FEWEST = 2
 BLOCK_SHINGLES = 1_000_000
 BLOCK_MEMBERS = 4_096
+MOST_KEYS_SENT = 1_000_000
 PIECES = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -344,12 +345,16 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     if loose.limit(1).count():
         loose = cut(loose)
         again = dealt.join(cut(_blocks(loose, sets, named, "c")), "pivot").join(loose.withColumn("loose", F.lit(True)), ["pivot", "doc"], "left")
+        again = cut(again.select("pivot", "doc", "block", "k", "c", "loose"))
+        # Only the texts of these groups travel again: known by their keys where those are few enough to be sent.
+        keys = again.select(F.col("doc").alias("key")).distinct()
+        near = keyed.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= MOST_KEYS_SENT else keyed
         own, other = _block("c"), F.col("other")
         # Block j of the linked sets is named -1 - j.
         apart = again.filter("loose").select("pivot", "doc", own.alias("own"), F.explode(_each("c")).alias("other")).select("doc", _deal(F.least("own", other), F.greatest("own", other), F.col("own") > other))
         across = again.filter("loose").select("pivot", "doc", own.alias("own"), F.explode(_each("k")).alias("other")).select("doc", _deal("own", -1 - other, F.lit(False)))
         linked = again.filter("loose is null").select("pivot", "doc", "block", F.explode(_each("c")).alias("other")).select("doc", _deal("other", -1 - F.col("block"), F.lit(True)))
-        more = _links(_members(_dealt(keyed, apart.unionByName(across).unionByName(linked)), n), percent)
+        more = _links(_members(_dealt(near, apart.unionByName(across).unionByName(linked)), n), percent)
         links = links.unionByName(more.filter("src is not null").select("src", "dst"))
     return sets, connected_components(links)
 

@@ -148,8 +148,9 @@ def drifting(seed, size=40, length=70):
     return rows
 
 
-@pytest.mark.parametrize(("members", "seed"), [(4, 7), (2, 8)])
-def test_components_with_blocks_and_oddities(spark, monkeypatch, members, seed):
+@pytest.mark.parametrize(("members", "seed", "sent"), [(4, 7, 10**6), (2, 8, 0)])
+def test_components_with_blocks_and_oddities(spark, monkeypatch, members, seed, sent):
+    monkeypatch.setattr(jaccard, "MOST_KEYS_SENT", sent)
     monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", members)
     passes, links = [], jaccard._links
     monkeypatch.setattr(jaccard, "_links", lambda *x: passes.append(1) or links(*x))
