@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.operators.components import connected_components
+from keelson.llm.workers import lean
 from keelson.session import cut, partitions, ship
 
 GROWTH = 1.25
@@ -148,7 +149,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             x = [shingles(t, n) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(v) for v in x], pa.int64()), pa.array([_node(v) for v in x], pa.binary())], names=["doc_id", "t", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text", digest().alias("t")).mapInArrow(run, "doc_id long, t binary, n_shingles long, node binary")
+    return docs.select("doc_id", "text", digest().alias("t")).mapInArrow(lean(run), "doc_id long, t binary, n_shingles long, node binary")
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -173,7 +174,7 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
             flat = np.concatenate(signs).view(np.int64) if signs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, dtype=np.int64), counts))], names=["sign", "doc"])
 
-    return docs.mapInArrow(run, "sign long, doc long")
+    return docs.mapInArrow(lean(run), "sign long, doc long")
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
@@ -201,7 +202,7 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
                         rows, size = [], 0
             yield out(rows)
 
-    return docs.mapInArrow(run, "pivot long, a long, b long, side int, later boolean, node binary, x array<long>, doc long")
+    return docs.mapInArrow(lean(run), "pivot long, a long, b long, side int, later boolean, node binary, x array<long>, doc long")
 
 
 def link_group(nodes: list[bytes], sets: list[np.ndarray], percent: int, blocks: list[int] | None = None, joined: bool = False) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
@@ -310,7 +311,7 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
         yield batch(links())
 
     together = members.repartition(partitions(members.sparkSession), "pivot", "a", "b").sortWithinPartitions("pivot", "a", "b", "later", "node")
-    return together.select("pivot", "a", "b", "node", "side", "x", "doc").mapInArrow(run, "src binary, dst binary, pivot long, doc long")
+    return together.select("pivot", "a", "b", "node", "side", "x", "doc").mapInArrow(lean(run), "src binary, dst binary, pivot long, doc long")
 
 
 def _groups(signed: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.workers import lean
 from keelson.session import ship
 
 UNKNOWN = "application/octet-stream"
@@ -341,7 +342,7 @@ def sniff_media(df: DataFrame, id_col: str, blob_col: str, declared_col: str) ->
             wrong = [d != t for d, t in zip(b.column(1).to_pylist(), types)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(types, pa.string()), pa.array(wrong), pa.array(carved, kind)], names=["id", "declared_type", "media_type", "corrected", "carved"])
 
-    return named.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, declared_type string, media_type string, corrected boolean, carved array<struct<type:string,start:long,length:long,data:binary>>")
+    return named.mapInArrow(lean(run), f"id {named.schema['id'].dataType.simpleString()}, declared_type string, media_type string, corrected boolean, carved array<struct<type:string,start:long,length:long,data:binary>>")
 
 
 def as_wav(samples: bytes, rate: int = RATE) -> bytes:
@@ -375,7 +376,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             media = [as_wav(t + b"\xff" * ((-len(t)) % BLOCK if t else BLOCK)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def read_features(stored: DataFrame) -> DataFrame:
@@ -397,4 +398,4 @@ def read_features(stored: DataFrame) -> DataFrame:
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "type_corrected"]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_bytes", *names])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, type_corrected boolean")
+    return stored.mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, type_corrected boolean")

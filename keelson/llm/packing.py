@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.workers import lean
 from keelson.session import ship
 
 WIDTH = 2048
@@ -195,4 +196,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end: int = 1, width: in
             yield rows(keys, pieces, part)
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(run, f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {last[0]} {last[1]}")
+    return named.mapInArrow(lean(run), f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {last[0]} {last[1]}")

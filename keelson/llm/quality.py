@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.workers import lean
 from keelson.session import cut, ship
 
 SYMBOLS = "#*$%&|<>"
@@ -97,7 +98,7 @@ def count_words(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
     ship(docs.sparkSession)
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    return df.mapInArrow(_count_batches, f"{fields}, {', '.join(f'{c} long' for c in COUNTS)}")
+    return df.mapInArrow(lean(_count_batches), f"{fields}, {', '.join(f'{c} long' for c in COUNTS)}")
 
 
 def base_failed() -> F.Column:

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.workers import lean
 from keelson.session import cut, ship
 
 RUN = 2
@@ -106,7 +107,7 @@ def repeated_sentences(docs: DataFrame, run_length: int = RUN, min_words: int =
                     size.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32())], names=["doc", "digest", "h1", "h2", "first", "size"])
 
-    found = docs.select(_id().alias("doc"), _digest().alias("digest"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, digest long, h1 long, h2 long, first int, size int")
+    found = docs.select(_id().alias("doc"), _digest().alias("digest"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc long, digest long, h1 long, h2 long, first int, size int")
     # Partial counts and minima leave each task as one row per hash, however often it occurs there.
     place = F.struct("doc", "digest", "first")
     # It is cut off, so that the join shuffles both its sides and a hot hash can be split among tasks.
@@ -129,4 +130,4 @@ def drop_repeated_spans(docs: DataFrame, run_length: int = RUN, min_words: int =
             text, n, words = zip(*got) if got else ([], [], [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([len(r) for r in removed], pa.int64()), pa.array(words, pa.int64()), b.column(2), pa.array(text, pa.string())], names=["doc_id", "n_sentences", "n_removed", "words_removed", "removed", "text"])
 
-    return joined.mapInArrow(run, "doc_id long, n_sentences long, n_removed long, words_removed long, removed array<int>, text string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_sentences long, n_removed long, words_removed long, removed array<int>, text string")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.workers import lean
 from keelson.session import ship
 
 SPACE = "▁"
@@ -384,4 +385,4 @@ def nbest(docs: DataFrame, best: int = BEST, path: str | None = None, emit: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind), pa.array(decoded, pa.string())], names=["doc_id", "nbest", "decoded_sha256"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(run, f"doc_id long, nbest array<struct<score:double,n_pieces:long,{last[0]}:{last[1]}>>, decoded_sha256 string")
+    return named.mapInArrow(lean(run), f"doc_id long, nbest array<struct<score:double,n_pieces:long,{last[0]}:{last[1]}>>, decoded_sha256 string")

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.workers import lean
 from keelson.session import cut, partitions, ship
 
 LENGTH = 400
@@ -337,7 +338,7 @@ def repeated_ranges(named: DataFrame, length: int | None = LENGTH, once: int | N
             flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays([pa.array(ts, pa.binary()), pa.array(_signed(flat(ks, np.uint64))), pa.array(flat(fs, np.int64)), pa.array(flat(ns, np.int64)), pa.array(flat(os, bool))], names=["t", "key", "first", "n", "own"])
 
-    found = long.select("t", "text").mapInArrow(find, "t binary, key long, first long, n long, own boolean")
+    found = long.select("t", "text").mapInArrow(lean(find), "t binary, key long, first long, n long, own boolean")
     # Grouped sides are cut off before their joins: then both sides are shuffled, and hot keys can be split among tasks.
     short = F.xxhash64("t")
     often = cut(found.groupBy("key").agg(F.min(short).alias("a"), F.max(short).alias("z"), F.max("own").alias("own"), F.count("*").alias("c")).filter("own or a <> z").select("key", "c"))
@@ -387,8 +388,8 @@ def repeated_ranges(named: DataFrame, length: int | None = LENGTH, once: int | N
         held.done = []
         return pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(later, pa.bool_())], names=["t", "a", "z", "later"])
 
-    met = rich.mapInArrow(cut_up, ROW).repartition(partitions(spark), "to").sortWithinPartitions("route", "a", "t")
-    hits = met.mapInArrow(solve, "t binary, a long, z long, later boolean")
+    met = rich.mapInArrow(lean(cut_up), ROW).repartition(partitions(spark), "to").sortWithinPartitions("route", "a", "t")
+    hits = met.mapInArrow(lean(solve), "t binary, a long, z long, later boolean")
     of = lambda c: F.sort_array(F.collect_set(F.when(c, F.struct("a", "z"))))
     return hits.groupBy("t").agg(of(~F.col("later")).alias("ranges"), of(F.col("later")).alias("later"))
 
@@ -466,7 +467,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, once:
             kept = pa.array([_left(r, s) for r, s in zip(raw, spans)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).field("doc_id"), pa.array([len(x) for x in raw], pa.int64()), total(spans), pa.array([len(s) for s in spans], pa.int64()), lists, kept, total(later)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "n_later"])
 
-    return _joined(docs, length, once, gram).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, n_later long")
+    return _joined(docs, length, once, gram).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, n_later long")
 
 
 def cut_text(docs: DataFrame, once: int, gram: int = GRAM) -> DataFrame:
@@ -481,4 +482,4 @@ def cut_text(docs: DataFrame, once: int, gram: int = GRAM) -> DataFrame:
             left = [_left(r, s).decode("utf-8", "ignore") for r, s in zip(raw, gone)]
             yield pa.RecordBatch.from_arrays([rows.field("doc_id"), pa.array(left, pa.string()), rows.field("lang"), rows.field("source"), pa.array([len(x) for x in left], pa.int64()), pa.array([bool(s) for s in gone], pa.bool_())], names=["doc_id", "text", "lang", "source", "n_chars", "was_cut"])
 
-    return _joined(docs, None, once, gram, "lang", "source").mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long, was_cut boolean")
+    return _joined(docs, None, once, gram, "lang", "source").mapInArrow(lean(run), "doc_id long, text string, lang string, source string, n_chars long, was_cut boolean")

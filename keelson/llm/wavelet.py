@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.llm.workers import lean
 from keelson.session import cut, fresh_folder, partitions, ship
 
 MAGIC = b"KWM1"
@@ -228,7 +229,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | N
         if ids:
             yield written()
 
-    files = cut(ordered.mapInArrow(run, "path string, part long, shard long, n_docs long, n_tokens long, n_bytes long"))
+    files = cut(ordered.mapInArrow(lean(run), "path string, part long, shard long, n_docs long, n_tokens long, n_bytes long"))
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("t"))
     before = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
@@ -256,4 +257,4 @@ def read_shards(manifest: DataFrame, emit: str = "digest") -> DataFrame:
                     values = pa.array([zlib.crc32(view[4 * a : 4 * z]) for a, z in zip(edges, edges[1:])], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), values], names=["doc_id", "start", "n_tokens", last[0]])
 
-    return spread.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last[0]} {last[1]}")
+    return spread.mapInArrow(lean(run), f"doc_id long, start long, n_tokens long, {last[0]} {last[1]}")
