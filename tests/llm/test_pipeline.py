@@ -1,13 +1,16 @@
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
 import pytest
 from helpers import corpus, sentence
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from keelson import session
 from keelson.llm import bpe, oracles, queries
 
 
@@ -90,6 +93,22 @@ def test_repeated_rows_and_null_ids_keep_one_row(spark, tmp_path):
     assert Counter(r.text for r in left if r.text) == Counter([clean, bare, near, shared, other])
 
 
+def test_a_cut_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before, setting = files(), spark.conf.get(session.CLEANUP, None)
+    grouped = spark.range(5000).groupBy((F.col("id") % 997).alias("k")).agg(F.sum("id").alias("s"))
+    out = session.cut(grouped)
+    for _ in range(50):  # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    # What was cut and what comes of it can be read again and again.
+    assert out.count() == grouped.count() == 997 and sorted(out.collect()) == sorted(grouped.collect())
+    assert spark.conf.get(session.CLEANUP, None) == setting
+
+
 def test_empty_documents(spark, tmp_path):
     tables(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
