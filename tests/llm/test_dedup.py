@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import corpus, frame, with_oddities
+from helpers import corpus, frame, sentence, with_oddities
 
 from keelson.llm import jaccard, sentence_spans, suffix
 
@@ -189,6 +189,17 @@ def test_two_stage_sorting_and_prefixes():
             assert raw[a : a + n] == raw[b : b + n] and raw[a + n : a + n + 1] != raw[b + n : b + n + 1]
 
 
+def test_only_suffixes_that_are_asked_for_are_sorted():
+    rng = np.random.default_rng(4)
+    for _ in range(250):
+        x = rng.integers(97, 97 + rng.integers(1, 4), rng.integers(1, 70)).astype(np.uint8)
+        asked, raw = rng.random(len(x)) < rng.random(), x.tobytes()
+        sa = suffix.two_stage(x, 100, asked)
+        assert sa[asked[sa]].tolist() == sorted(np.flatnonzero(asked).tolist(), key=lambda i: raw[i:])
+    prose = np.frombuffer(sentence(random.Random(4), 4000).encode(), np.uint8)
+    assert len(suffix.two_stage(prose, 100, np.arange(len(prose)) < 1000)) < 1100
+
+
 def slow_removed(rows, length):
     count = Counter()
     raw = [(t or "").encode() for _, t, *_ in rows]
