@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -31,6 +32,26 @@ def test_memory_resets_stay_exact(monkeypatch):
         assert [x.tolist() for x in coder.encode(texts)] == [ids(t) for t in texts]
 
 
+def test_encoding_much_text_takes_little_memory(monkeypatch):
+    texts = [r[1] for r in corpus(3, 40)] + [None, ""]
+    want = [ids(t) for t in texts]
+    coder = bpe.Coder(PATH)
+    many = [t.encode() if t else t for t in texts] * (16_000_000 // sum(len((t or "").encode()) for t in texts))
+    coder.encode(texts)
+    tracemalloc.start()
+    try:
+        got = coder.encode(many)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 8 * 16_000_000
+    assert all(x.tolist() == want[k % len(want)] for k, x in enumerate(got) if k % 101 < 2)
+    # Wherever the texts are parted.
+    for size in (0, 1, 100, 5_000):
+        monkeypatch.setattr(bpe, "_BYTES", size)
+        assert [x.tolist() for x in coder.encode(texts)] == want
+
+
 def test_shard_access_count_occurrence():
     rng = np.random.default_rng(1)
     for n in (0, 1, 7, 70_000):
