@@ -52,6 +52,22 @@ def test_encoding_much_text_takes_little_memory(monkeypatch):
         assert [x.tolist() for x in coder.encode(texts)] == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aB'st.,\n\r\t 1-_éß×÷ÿΩя中\u0301\u00a0\u2003\x1c\x85²", max_size=40), max_size=6))
+def test_encoding_holds_at_every_border(texts):
+    assert [x.tolist() for x in bpe.coder(PATH).encode(texts)] == [ids(t) for t in texts]
+
+
+def test_known_words_stay_known_beside_signs(monkeypatch):
+    coder = bpe.Coder(PATH)
+    coder.encode(["Harborea wintrely, élanorei.\nHarborea."])
+    sent, library = [], coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda texts: sent.extend(texts) or library(texts))
+    text = "Harborea, wintrely élanorei. wintrely.\nHarborea élanorei,"
+    assert coder.encode([text])[0].tolist() == ids(text)
+    assert sent == []
+
+
 def test_shard_access_count_occurrence():
     rng = np.random.default_rng(1)
     for n in (0, 1, 7, 70_000):
