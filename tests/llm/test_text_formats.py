@@ -1,5 +1,7 @@
+import gc
 import hashlib
 import random
+import sys
 from array import array
 from datetime import datetime, timedelta
 
@@ -119,6 +121,57 @@ def test_nbest_matches_every_segmentation():
         assert all(m.decode(i) == x for _, i in got)
 
 
+def test_nbest_of_one_model_string_after_string():
+    rng = random.Random(4)
+    for _ in range(60):
+        pieces = {"".join(rng.choice("ab▁c.") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(2, 14))}
+        # No two sums are alike.
+        m = spm.Pieces({p: (300 + k, -1 - 0.37 * rng.random()) for k, p in enumerate(sorted(pieces))}, list(range(256)), best=rng.randint(1, 5))
+        m.by_words = False
+        texts = ["".join(rng.choice("ab c.d") for _ in range(rng.randint(1, 9))) for _ in range(8)]
+        for x, got in [*((x, m.encode(x)) for x in texts), *((x, m.search("▁" + x.replace(" ", "▁"))) for x in texts + sorted(texts))]:
+            want = every_segmentation(m, "▁" + x.replace(" ", "▁"))[: m.best]
+            assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in want]
+
+
+class Counted(dict):
+    asked = 0
+
+    def get(self, key):
+        self.asked += 1
+        return super().get(key)
+
+
+def test_nbest_shares_what_words_begin_with():
+    m = spm.Pieces({p: (300 + k, -float(k)) for k, p in enumerate(["a", "b", "ab", "ba", "aab", "▁a", "▁"])}, list(range(256)))
+    m.edges = Counted(m.edges)
+    words = ["abaabbaababaab" + x + y for x in "ab" for y in "ab"]
+    got = m.encode_batch([" ".join([words[k] for k in (2, 0, 3, 1)]).encode()])
+    alone = spm.Pieces(m.vocabulary, m.byte_ids)
+    assert got == [alone.encode(" ".join([words[k] for k in (2, 0, 3, 1)]))]
+    once = m.edges.asked
+    m.last, m.edges.asked = "", 0
+    m.score, m.into = [0.0], [[]]
+    m.search("▁" + words[0])
+    assert once < 2 * m.edges.asked
+
+
+def test_nbest_waits_with_collecting_cycles():
+    m, began = spm.model(spm.default_path()), []
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(200)).encode() for _ in range(20)]
+
+    def note(phase, info):
+        began.append(sys._getframe(1).f_code.co_filename == spm.__file__)
+
+    gc.callbacks.append(note)
+    try:
+        m.encode_batch(texts)
+    finally:
+        gc.callbacks.remove(note)
+    assert not any(began) and gc.isenabled()
+
+
 def test_nbest_rows(spark):
     rows = with_oddities(corpus(n=20))
     got = spm.nbest(frame(spark, rows)).collect()
