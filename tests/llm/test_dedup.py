@@ -162,6 +162,22 @@ def test_components_with_blocks_and_oddities(spark, monkeypatch, members, seed,
     assert [tuple(r) for r in jaccard.jaccard_components(frame(spark, [(5, None, *[None] * 7), (6, " ", *[None] * 7)])).orderBy("doc_id").collect()] == [(5, 0, 5), (6, 0, 6)]
 
 
+def test_copies_of_texts_travel_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 4)
+    rows = [*near_copies(9, groups=4), *drifting(9)]
+    sent, compare = [], jaccard._compare
+
+    def counted(members, *x):
+        sent.append(members.selectExpr("coalesce(sum(length(text)), 0)").first()[0])
+        return compare(members, *x)
+
+    monkeypatch.setattr(jaccard, "_compare", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows), 3, 90).collect())
+    assert got == slow_components(rows, 3, 90)
+    whole = sum(len(r[1]) for r in rows)
+    assert sum(sent) > 2 * whole and max(sent) < 2 * whole  # copies of many texts in all, of few at once
+
+
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(4)
     for percent in (80, 90):
