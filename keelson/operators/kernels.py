@@ -134,61 +134,105 @@ def _subset_arcs(nodes: list[int], price: dict[tuple[int, int], float]) -> list[
 
 def heuristic_arcs(price: dict[tuple[int, int], float]) -> set[tuple[int, int]]:
     """Strip sinks and sources, else the vertex with most outgoing over incoming edges; then move single
-    vertices while the backward weight drops."""
+    vertices while the backward weight drops.
+
+    A step costs as much as its vertex has edges, times a logarithm, so large components are fine.
+    """
     outs, ins = defaultdict(set), defaultdict(set)
     for s, d in price:
         outs[s].add(d)
         ins[d].add(s)
     nodes = sorted({v for e in price for v in e})
-    alive, left, right = set(nodes), [], []
+    order = _improved(nodes, _stripped(nodes, outs, ins), outs, ins, price)
+    rank = {v: k for k, v in enumerate(order)}
+    return {e for e in price if rank[e[0]] > rank[e[1]]}
+
+
+def _stripped(nodes: list[int], outs: dict[int, set[int]], ins: dict[int, set[int]]) -> list[int]:
     o, i = {v: len(outs[v]) for v in nodes}, {v: len(ins[v]) for v in nodes}
+    alive, left, right = set(nodes), [], []
+    sinks, sources = {v for v in nodes if not o[v]}, {v for v in nodes if not i[v]}
+    queue = [(i[v] - o[v], v) for v in nodes]
+    heapq.heapify(queue)
 
     def drop(v: int) -> None:
         alive.discard(v)
+        sinks.discard(v)
+        sources.discard(v)
         for d in outs[v]:
             i[d] -= 1
+            if d in alive:
+                heapq.heappush(queue, (i[d] - o[d], d))
+                if not i[d]:
+                    sources.add(d)
         for s in ins[v]:
             o[s] -= 1
+            if s in alive:
+                heapq.heappush(queue, (i[s] - o[s], s))
+                if not o[s]:
+                    sinks.add(s)
 
     while alive:
-        sinks = [v for v in sorted(alive) if not o[v]]
-        if sinks:
-            for v in sinks:
-                drop(v)
-                right.append(v)
-            continue
-        sources = [v for v in sorted(alive) if not i[v]]
-        if sources:
-            for v in sources:
+        if sinks or sources:
+            to = right if sinks else left
+            for v in sorted(sinks or sources):
                 drop(v)
-                left.append(v)
+                to.append(v)
             continue
-        v = min(alive, key=lambda x: (i[x] - o[x], x))
-        drop(v)
-        left.append(v)
-    order = left + right[::-1]
+        gap, v = heapq.heappop(queue)
+        if v in alive and gap == i[v] - o[v]:  # else an old entry
+            drop(v)
+            left.append(v)
+    return left + right[::-1]
+
+
+def _improved(nodes: list[int], order: list[int], outs: dict[int, set[int]], ins: dict[int, set[int]], price: dict[tuple[int, int], float]) -> list[int]:
+    """The order after single moves. Only places beside a neighbour can be better; places are numbers with gaps between them."""
+    end = object()
+    ring = [end, *order]
+    before, after = dict(zip(order, ring)), dict(zip(ring, [*order, end]))
+    before[end] = order[-1]
+    wide = 1 << 40
+    place = {v: k * wide for k, v in enumerate(order)}
+
+    def put(v: int, left: object) -> None:
+        """Take v out and put it behind ``left``."""
+        after[before[v]], before[after[v]] = after[v], before[v]
+        right = after[left]
+        before[v], after[v], after[left], before[right] = left, right, v, v
+        low = place[left] if left is not end else place[right] - 2 * wide
+        high = place[right] if right is not end else low + 2 * wide
+        place[v] = (low + high) // 2
+        if place[v] == low:
+            v, k = after[end], 0
+            while v is not end:
+                place[v], v, k = k, after[v], k + wide
+
     improved = True
     while improved:  # each move drops the backward weight, so this ends
         improved = False
         for v in nodes:
-            k = order.index(v)
-            gain, best, run = 0.0, k, 0.0
-            for j in range(k - 1, -1, -1):  # earlier: edges to v from there turn backward
-                u = order[j]
-                run += price.get((u, v), 0.0) - price.get((v, u), 0.0)
-                if run < gain - 1e-12:
-                    gain, best = run, j
+            near, here = sorted((place[u], u) for u in outs[v] | ins[v]), place[v]
+            gain, best, run = 0.0, None, 0.0
+            for x, u in reversed(near):  # earlier: edges to v from there turn backward
+                if x < here:
+                    run += price.get((u, v), 0.0) - price.get((v, u), 0.0)
+                    if run < gain - 1e-12:
+                        gain, best = run, u
             run = 0.0
-            for j in range(k + 1, len(order)):
-                u = order[j]
-                run += price.get((v, u), 0.0) - price.get((u, v), 0.0)
-                if run < gain - 1e-12:
-                    gain, best = run, j
-            if best != k:
-                order.insert(best, order.pop(k))
+            for x, u in near:
+                if x > here:
+                    run += price.get((v, u), 0.0) - price.get((u, v), 0.0)
+                    if run < gain - 1e-12:
+                        gain, best = run, u
+            if best is not None:
+                put(v, best if place[best] > here else before[best])
                 improved = True
-    rank = {v: k for k, v in enumerate(order)}
-    return {e for e in price if rank[e[0]] > rank[e[1]]}
+    out, v = [], after[end]
+    while v is not end:
+        out.append(v)
+        v = after[v]
+    return out
 
 
 def _short_cycle(price: dict[tuple[int, int], float], cut: set[tuple[int, int]], nodes: Sequence[int]) -> list[tuple[int, int]] | None:
