@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.session import cut, ship
+from keelson.session import cut, partitions, ship
 
 FALLBACK = 0.6
 BARE = "bare:"  # leads a module name that is no relative path
@@ -262,12 +262,22 @@ def test_support_crates(members: DataFrame, uses: DataFrame) -> DataFrame:
     return fit.join(F.broadcast(counts.filter("all >= 2 and some < all")), how="inner").select("root")
 
 
+DEALS = 8
+
+
 def advisory_uses(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(user, used, from_test): declarations that names in unloaded code may mean; true only while every source is test code.
 
     names(user, name, from_test), nodes(id, name, test_source).
     """
-    hit = names.join(nodes.filter("not test_source").select(F.col("id").alias("used"), "name"), "name").filter("user <> used")
+    # Each user and name is one row before the join, and a declaration has one name, so each pair comes once: the pairs, which can
+    # be many times the rows that came in, are neither grouped nor shuffled. Few names may stand for nearly all rows, so each is
+    # dealt out by user.
     user = nodes.select(F.col("id").alias("user"), "test_source")
-    hit = hit.groupBy("user", "used").agg(F.bool_and("from_test").alias("from_test")).join(user, "user")
-    return hit.select("user", "used", (F.col("from_test") | F.col("test_source")).alias("from_test"))
+    once = names.groupBy("user", "name").agg(F.bool_and("from_test").alias("from_test")).join(user, "user")
+    said = once.select("user", "name", (F.col("from_test") | F.col("test_source")).alias("from_test"), F.pmod(F.xxhash64("user"), F.lit(DEALS)).cast("int").alias("deal"))
+    used = nodes.filter("not test_source").select(F.col("id").alias("used"), "name").distinct().join(names.select("name").distinct(), "name", "left_semi")
+    used = used.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    n = partitions(names.sparkSession)
+    pairs = said.repartition(n, "name", "deal").join(used.repartition(n, "name", "deal"), ["name", "deal"])
+    return pairs.filter("user <> used").select("user", "used", "from_test")
