@@ -109,6 +109,22 @@ def test_layers_closure_quotient(spark):
     assert (c.cyclic_nodes, c.cyclic_edges) == (3, 3)
 
 
+@pytest.mark.parametrize(("limit", "width"), [(1_000_000, 4), (1_000_000, 1024), (40, 4)])
+def test_closure_in_slices(spark, monkeypatch, limit, width):
+    monkeypatch.setattr(graph, "SLICE", width)
+    rng = random.Random(6)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [(100, 101), (101, 100), (200, 200), (300, 301)]
+    pairs += [(1000 + i, 1000 + rng.randrange(25)) for i in range(25) for _ in range(2)]
+    got = [tuple(r) for r in graph.closure(frame(spark, pairs), limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == reach(pairs)
+
+
+def test_closure_of_many_pairs_is_not_shuffled(spark):
+    out = graph.closure(frame(spark, [(i, i + 1) for i in range(50)]))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.index("MapInArrow") < text.index("Exchange") and text.count("MapInArrow") == 1 and out.count() == 50 * 51 // 2
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
