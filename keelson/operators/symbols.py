@@ -20,14 +20,19 @@ def nominations(edges: DataFrame, nodes: DataFrame, zone: DataFrame, affinities:
     edges(source, target, weight), nodes(id, kind, file), zone(file). Edges that touch the zone do not pull. A
     companion pulls with a fixed coefficient. A type is only nominated where the pull exceeds that of its own file.
     """
-    near = edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "weight").unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("other"), "weight"))
+    live = nodes.join(zone.select("file"), "file", "left_anti")
+    # The file of the one who pulls joins first, then rows stay with the one who is pulled: its file, its groups and its rank need no other shuffle.
+    ends = live.select("id", "file", (F.col("kind") == "Type").alias("typed"), (F.col("kind") == "FileBody").alias("body"))
+    a, b = ends.select(F.col("id").alias("source"), F.struct("file", "typed", "body").alias("s")), ends.select(F.col("id").alias("target"), F.struct("file", "typed", "body").alias("t"))
+    met = edges.select("source", "target", "weight").join(a, "source").join(b, "target")
+    way = lambda x, y: F.struct(F.col(x).alias("id"), F.col(f"{x[0]}.file").alias("own"), F.col(f"{x[0]}.typed").alias("typed"), F.col(f"{x[0]}.body").alias("body"), F.col(f"{y[0]}.file").alias("file"), F.col("weight").alias("weight"))
+    near = met.select(F.explode(F.array(way("source", "target"), way("target", "source"))).alias("n")).select("n.*")
     if affinities is not None:
-        near = near.unionByName(affinities.select(F.col("companion").alias("id"), F.col("owner").alias("other"), F.lit(COMPANION_PULL).alias("weight")))
-    home = nodes.select(F.col("id").alias("other"), "file").join(zone.select("file"), "file", "left_anti")
-    own = nodes.filter("kind <> 'FileBody'").select("id", "kind", F.col("file").alias("own")).join(zone.select(F.col("file").alias("own")), "own", "left_anti")
-    pulls = near.join(own, "id").join(home, "other").groupBy("id", "kind", "own", "file").agg(F.sum("weight").alias("pull"))
-    stay = pulls.filter("file = own").select("id", F.col("pull").alias("stay"))
-    away = pulls.filter("file <> own and pull > 0").join(stay, "id", "left").filter((F.col("kind") != "Type") | (F.round("pull", 6) > F.round(F.coalesce("stay", F.lit(0.0)), 6)))
+        drawn = affinities.select(F.col("owner").alias("source"), F.col("companion").alias("target"), F.lit(COMPANION_PULL).alias("weight"))
+        near = near.unionByName(drawn.join(a, "source").join(b, "target").select(way("target", "source").alias("n")).select("n.*"))
+    pulls = near.filter("not body").drop("body").repartition("id").groupBy("id", "own", "typed", "file").agg(F.sum("weight").alias("pull"))
+    pulls = pulls.withColumn("stay", F.max(F.when(F.col("file") == F.col("own"), F.col("pull"))).over(Window.partitionBy("id")))
+    away = pulls.filter("file <> own and pull > 0").filter(~F.col("typed") | (F.round("pull", 6) > F.round(F.coalesce("stay", F.lit(0.0)), 6)))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("pull", 6)), "file"))
     return away.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top).select("id", "file", "pull", "rank")
 

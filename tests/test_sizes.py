@@ -69,3 +69,16 @@ def test_shared_projections_sort_once(spark, tmp_path):
     for r in t.org_edges.collect():
         mine = [x for x in lines if x[0] == r.source]
         assert r.kind == kinds.get(by[r.source][3]) and r.hardness in {"Hard" if x[4] == "O" else "Soft" for x in mine} and round(1 - r.confidence, 4) in {x[3] for x in mine}
+
+
+def test_nominations_join_each_edge_once(spark):
+    from keelson.operators import symbols
+
+    e = spark.createDataFrame([(1, 2, 1.0), (3, 1, 2.0), (4, 1, 0.5), (1, 5, 0.25), (5, 6, 1.0)], "source long, target long, weight double")
+    n = spark.createDataFrame([(1, "Type", 10), (2, "Symbol", 10), (3, "Symbol", 20), (4, "FileBody", 30), (5, "Symbol", 40), (6, None, 20)], "id long, kind string, file long")
+    aff = spark.createDataFrame([(2, 5)], "owner long, companion long")
+    got = symbols.nominations(e, n, spark.createDataFrame([(30,)], "file long"), aff)
+    rows = {(r.id, r.file): (round(r.pull, 6), r["rank"]) for r in got.collect()}
+    assert rows == {(1, 20): (2.0, 1), (3, 10): (2.0, 1), (5, 20): (1.0, 1), (5, 10): (0.3, 2)}
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate") == 1  # what stays is looked up beside the pulls, not made again
